@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality_rules, token_counts, token_files
+from . import jaccard_join, quality_rules, token_counts, token_files
 from .shared import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.groups(table(spark, sf_dir, "documents"), percent=85, words=4).select("doc_id", "n_shingles", "component_id", "class_id")
+
+
 def tokenizer(name: str) -> str:
     """The file of a public tokenizer, installed on driver and executors alike."""
     import public_tokenizers
@@ -45,6 +49,7 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op2_quality_rules": op2_quality_rules,
+    "op3_jaccard_join": op3_jaccard_join,
     "op4_token_files": op4_token_files,
     "op7_token_counts": op7_token_counts,
 }
