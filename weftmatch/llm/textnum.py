@@ -24,6 +24,10 @@ SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 NEWLINE = np.zeros(256, bool)
 NEWLINE[0x0A] = True
 
+#: white space and ASCII punctuation
+APART = SPACE.copy()
+APART[[c for c in range(33, 127) if not chr(c).isalnum()]] = True
+
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _LOWER_TABLE = _TABLE[_LOWER]
@@ -78,13 +82,13 @@ def _pieces(data: bytes) -> Iterator[bytes]:
         yield data[at:]
 
 
-def hash_words(data: bytes, lower: bool = False) -> np.ndarray:
-    """A 64-bit hash of each word ``[^\\x20\\x09-\\x0D]+`` of one text, in order; ``lower`` folds A-Z."""
+def hash_words(data: bytes, lower: bool = False, apart: np.ndarray = SPACE) -> np.ndarray:
+    """A 64-bit hash of each word of one text, in order; words are split at the bytes of ``apart``; ``lower`` folds A-Z."""
     table = _LOWER_TABLE if lower else _TABLE
     out = []
     for piece in _pieces(data):
         buf = np.frombuffer(piece, np.uint8)
-        out.append(_hash_spans(table, buf, *_spans(SPACE[buf])))
+        out.append(_hash_spans(table, buf, *_spans(apart[buf])))
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
