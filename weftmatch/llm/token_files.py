@@ -36,12 +36,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-CACHE = 400_000
+#: pieces and words that a worker remembers
+CACHE, WORDS = 600_000, 1_000_000
 NO_ID = -(2**63)
 
 #: white space as the tokenizer's pattern has it (the Unicode property White_Space)
 _SPACES = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 _NEAR_SPACE = re.compile(f" [{_SPACES}]|[{_SPACES}] ")
+_ASCII_NEAR_SPACE = tuple(x for c in "\t\n\x0b\x0c\r " for x in (f" {c}", f"{c} "))
 
 #: the tokenizer's own first split, used where letters and digits are those of Latin scripts
 _WORDS = regex.compile(rf"'(?:[sdmt]|ll|ve|re)| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACES}\p{{L}}\p{{N}}]+|[{_SPACES}]+(?![^{_SPACES}])|[{_SPACES}]+")
@@ -112,7 +114,7 @@ class Encoder:
             sizes = np.array(list(map(len, found)))
             at = self._append(np.array([i for x in found for i in x], np.uint32), np.cumsum(sizes) - sizes)
             codes = dict(zip(new, range(at, self.n_codes), strict=True))
-            if len(self.words) < CACHE:
+            if len(self.words) < WORDS:
                 self.words.update(codes)
                 codes = self.words
             else:
@@ -125,14 +127,14 @@ class Encoder:
 
     def encode(self, text: str) -> np.ndarray:
         """The ids of one whole text, as the library gives them for it."""
-        if not text or not self.by_piece or _NEAR_SPACE.search(text):
+        if not text or not self.by_piece or _spaces_meet(text):
             return self._plain(text) if text else np.zeros(0, np.uint32)
         head, *pieces = text.split(" ")
         head = self._plain(head) if head else np.zeros(0, np.uint32)
         if not pieces:
             return head
         codes = np.array(list(map(self.known.get, pieces, repeat(-1))), np.int64)
-        back = (self.n_ids, self.n_codes) if len(self.words) >= CACHE else None
+        back = (self.n_ids, self.n_codes) if len(self.words) >= WORDS else None
         missing = np.flatnonzero(codes < 0)
         if len(missing):
             new = [pieces[i] for i in missing.tolist()]
@@ -150,6 +152,11 @@ class Encoder:
         return np.concatenate((head, out))
 
 
+def _spaces_meet(text: str) -> bool:
+    """True if a space stands beside other white space."""
+    return any(x in text for x in _ASCII_NEAR_SPACE) or not text.isascii() and bool(_NEAR_SPACE.search(text))
+
+
 def encoder(path: str) -> Encoder:
     if path not in _encoders:
         _encoders[path] = Encoder(path)
