@@ -69,6 +69,15 @@ def _hash_spans(table: np.ndarray, buf: np.ndarray, starts: np.ndarray, ends: np
     return mix(out + size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
+def hash_tiles(buf: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Hashes of the spans that tile ``buf``, each from its start to the next."""
+    size = np.diff(np.append(starts, len(buf)))
+    pos = np.arange(len(buf)) - np.repeat(starts, size)
+    pos += (pos >> 12) * 7919
+    out = np.add.reduceat(_TABLE[buf] * _MULT[pos & (_POS - 1)], starts)
+    return mix(out + size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
 def _pieces(data: bytes) -> Iterator[bytes]:
     """A text in pieces of about CHUNK bytes, cut behind white space; a longer word stays whole."""
     at = 0

@@ -13,8 +13,9 @@ Documents are dealt out by ranges of doc_id, so a later file holds only larger i
 pass writes ``.off``. Files carry the name of the attempt that wrote them and only those in the manifest count, so a
 task that runs twice does no harm. Reading maps the files into memory.
 
-Encoding: for a byte-level merge tokenizer every place between a visible character and a space is a boundary, so
-texts are cut there, equal pieces are encoded once, and each worker remembers up to ``CACHE`` of them.
+Encoding: a byte-level merge tokenizer first splits texts into words, a run of letters, digits or marks with the space
+before it. Texts of Latin letters whose white space stands apart are split alike here, equal words (by a 64-bit hash)
+are encoded once, and each worker remembers up to ``WORDS`` of them. All other texts go to the library whole.
 
 Defined results: a null or empty text is the end id alone. Documents with equal ids stand together, ordered by text.
 An empty table gives an empty data set.
@@ -27,33 +28,35 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: pieces and words that a worker remembers
-CACHE, WORDS = 600_000, 1_000_000
-NO_ID = -(2**63)
+from .textnum import batches, hash_tiles
 
-#: white space as the tokenizer's pattern has it (the Unicode property White_Space)
-_SPACES = "\t\n\x0b\x0c\r \x85\xa0  -     　"
-_NEAR_SPACE = re.compile(f" [{_SPACES}]|[{_SPACES}] ")
-_ASCII_NEAR_SPACE = tuple(x for c in "\t\n\x0b\x0c\r " for x in (f" {c}", f"{c} "))
+#: words that a worker remembers, and slots of the table it finds them in
+WORDS, SLOTS = 1_500_000, 1 << 22
+NO_ID = -(2**63)
 
-#: the tokenizer's own first split, used where letters and digits are those of Latin scripts
-_WORDS = regex.compile(rf"'(?:[sdmt]|ll|ve|re)| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACES}\p{{L}}\p{{N}}]+|[{_SPACES}]+(?![^{_SPACES}])|[{_SPACES}]+")
-_LATIN_END = "\u0250"
+#: classes of bytes: space, other white space, letters (all of UTF-8 beyond ASCII), digits, marks
+_CLASS = np.full(256, 4, np.int8)
+_CLASS[32] = 0
+_CLASS[9:14] = 1
+_CLASS[[c for c in range(128) if chr(c).isalpha()]] = 2
+_CLASS[128:] = 2
+_CLASS[48:58] = 3
+#: a character beyond ASCII that is no Latin letter
+_ODD = re.compile("[^\\x00-\\x7f\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]")
 
 _encoders: dict[str, "Encoder"] = {}
 
 
 class Encoder:
-    """A tokenizer file with its memory of pieces; one per worker process."""
+    """A tokenizer file with its memory of words; one per worker process."""
 
     def __init__(self, path: str):
         import json
@@ -65,96 +68,97 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             config = json.load(f)
         pre = config.get("pre_tokenizer") or {}
-        plain = not any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") for t in config.get("added_tokens", []))
-        #: pieces can be encoded one by one
-        self.by_piece = plain and not config.get("normalizer") and pre.get("type") == "ByteLevel" and pre.get("use_regex") is True and not pre.get("add_prefix_space")
+        plain = not any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") or "<|" not in t["content"] for t in config.get("added_tokens", []))
+        #: words can be encoded one by one
+        self.by_word = plain and not config.get("normalizer") and pre.get("type") == "ByteLevel" and pre.get("use_regex") is True and not pre.get("add_prefix_space")
         self.width = 2 if self.model.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
-
-        #: which ids begin with a space
-        self.spaced = np.zeros(self.model.get_vocab_size(with_added_tokens=True), bool)
-        for i in range(len(self.spaced)):
-            self.spaced[i] = (self.model.id_to_token(i) or "").startswith("Ġ")
-        #: codes of pieces that follow one space
-        self.known: dict[str, int] = {}
-        #: codes of words as the tokenizer first splits a text
-        self.words: dict[str, int] = {}
+        #: hash -> code by open addressing; the ids of each code
+        self.keys, self.codes = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.int32)
         self.ids, self.start, self.size = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
         self.n_ids = self.n_codes = 0
 
-    def _append(self, ids: np.ndarray, start: np.ndarray) -> int:
-        """Keep the ids of some pieces; the code of the first."""
+    def _append(self, words: list[bytes]) -> int:
+        """Encode some words and keep their ids; the code of the first."""
+        found = [x.ids for x in self.model.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
+        sizes = np.array(list(map(len, found)), np.int64)
+        ids = np.array(list(chain.from_iterable(found)), np.uint32)
         while len(self.ids) < self.n_ids + len(ids):
             self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
-        while len(self.start) < self.n_codes + len(start):
+        while len(self.start) < self.n_codes + len(sizes):
             self.start, self.size = np.concatenate((self.start, np.zeros_like(self.start))), np.concatenate((self.size, np.zeros_like(self.size)))
         at = self.n_codes
         self.ids[self.n_ids : self.n_ids + len(ids)] = ids
-        self.start[at : at + len(start)] = self.n_ids + start
-        self.size[at : at + len(start)] = np.diff(np.append(start, len(ids)))
-        self.n_ids, self.n_codes = self.n_ids + len(ids), at + len(start)
+        self.start[at : at + len(sizes)] = self.n_ids + np.cumsum(sizes) - sizes
+        self.size[at : at + len(sizes)] = sizes
+        self.n_ids, self.n_codes = self.n_ids + len(ids), at + len(sizes)
         return at
 
-    def _plain(self, text: str) -> np.ndarray:
-        return np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
-
-    def _gather(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The ids behind the codes, and where each code's ids end."""
-        size = self.size[codes]
-        ends = np.cumsum(size)
-        return self.ids[np.repeat(self.start[codes] - ends + size, size) + np.arange(ends[-1])], ends
-
-    def _spelled(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of a text that begins with a space, and where its parts that begin with one start."""
-        if max(text) >= _LATIN_END or "<|" in text:
-            ids = self._plain(text)
-            return ids, np.flatnonzero(self.spaced[ids])
-        words = _WORDS.findall(text)
-        if new := list(set(words).difference(self.words)):
-            found = [x.ids for x in self.model.encode_batch_fast(new, add_special_tokens=False)]
-            sizes = np.array(list(map(len, found)))
-            at = self._append(np.array([i for x in found for i in x], np.uint32), np.cumsum(sizes) - sizes)
-            codes = dict(zip(new, range(at, self.n_codes), strict=True))
-            if len(self.words) < WORDS:
-                self.words.update(codes)
-                codes = self.words
+    def _find(self, h: np.ndarray) -> np.ndarray:
+        """Codes of hashes, -1 where unknown."""
+        out = np.full(len(h), -1, np.int64)
+        slot = (h >> np.uint64(42)).astype(np.int64)
+        left = np.arange(len(h))
+        while len(left):
+            seen = self.keys[slot]
+            hit = seen == h[left]
+            out[left[hit]] = self.codes[slot[hit]]
+            go = ~hit & (seen != 0)
+            left, slot = left[go], (slot[go] + 1) & (SLOTS - 1)
+        return out
+
+    def _remember(self, h: np.ndarray, first: int) -> None:
+        for code, (key, slot) in enumerate(zip(h.tolist(), (h >> np.uint64(42)).tolist(), strict=True), first):
+            while self.keys[slot]:
+                slot = (slot + 1) & (SLOTS - 1)
+            self.keys[slot], self.codes[slot] = key, code
+
+    def _plain(self, text: bytes) -> np.ndarray:
+        return np.array(self.model.encode_batch_fast([text.decode()], add_special_tokens=False)[0].ids, np.uint32)
+
+    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
+        """The ids of some whole texts, as the library gives them for each."""
+        out: list[np.ndarray | None] = [np.zeros(0, np.uint32) if not t else None for t in texts]
+        fast = [i for i, t in enumerate(texts) if t and self.by_word and b"'" not in t and b"<|" not in t and (t.isascii() or not _ODD.search(t.decode()))]
+        if fast:
+            sizes = np.array([len(texts[i]) for i in fast])
+            begin = np.cumsum(sizes) - sizes
+            data = b"".join(texts[i] for i in fast)
+            buf = np.frombuffer(data, np.uint8)
+            kind = _CLASS[buf]
+            fresh = np.ones(len(buf), bool)
+            # a run of one class is a word, together with one space before it; white space that is no space stands alone
+            fresh[1:] = (kind[1:] != kind[:-1]) & (kind[:-1] != 0) | (kind[1:] == 1)
+            fresh[begin] = True
+            white = kind <= 1
+            meet = white[1:] & white[:-1]
+            meet[begin[1:] - 1] = False
+            slow = set((np.searchsorted(begin, np.flatnonzero(meet), "right") - 1).tolist())
+            starts = np.flatnonzero(fresh)
+            h = hash_tiles(buf, starts)
+            code = self._find(h)
+            back = (self.n_ids, self.n_codes)
+            if len(unknown := np.flatnonzero(code < 0)):
+                new, place, again = np.unique(h[unknown], return_index=True, return_inverse=True)
+                ends = np.append(starts[1:], len(buf))
+                where = unknown[place]
+                # where white space meets, a word may be cut wrongly; such texts are encoded plainly below
+                at = self._append([data[a:b] for a, b in zip(starts[where].tolist(), ends[where].tolist(), strict=True)])
+                code[unknown] = at + again
+                if self.n_codes <= WORDS:
+                    self._remember(new, at)
+                    back = None
             else:
-                codes = {w: self.words.get(w, -1) if w not in codes else codes[w] for w in words}
-        else:
-            codes = self.words
-        ids, ends = self._gather(np.array(list(map(codes.__getitem__, words))))
-        first = np.array([w[0] == " " for w in words])
-        return ids, np.concatenate(([0], ends[:-1]))[first]
-
-    def encode(self, text: str) -> np.ndarray:
-        """The ids of one whole text, as the library gives them for it."""
-        if not text or not self.by_piece or _spaces_meet(text):
-            return self._plain(text) if text else np.zeros(0, np.uint32)
-        head, *pieces = text.split(" ")
-        head = self._plain(head) if head else np.zeros(0, np.uint32)
-        if not pieces:
-            return head
-        codes = np.array(list(map(self.known.get, pieces, repeat(-1))), np.int64)
-        back = (self.n_ids, self.n_codes) if len(self.words) >= WORDS else None
-        missing = np.flatnonzero(codes < 0)
-        if len(missing):
-            new = [pieces[i] for i in missing.tolist()]
-            ids, start = self._spelled(" " + " ".join(new))
-            if len(start) != len(new):  # an id that is no piece of ours begins with a space
-                return self._plain(text)
-            back = back or (self.n_ids, self.n_codes)
-            codes[missing] = np.arange(self._append(ids, start), self.n_codes)
-            if len(self.known) < CACHE:
-                self.known.update(zip(new, codes[missing].tolist(), strict=True))
                 back = None
-        out, _ = self._gather(codes)
-        if back:  # what is not remembered makes room
-            self.n_ids, self.n_codes = back
-        return np.concatenate((head, out))
-
-
-def _spaces_meet(text: str) -> bool:
-    """True if a space stands beside other white space."""
-    return any(x in text for x in _ASCII_NEAR_SPACE) or not text.isascii() and bool(_NEAR_SPACE.search(text))
+            size = self.size[code]
+            ends = np.cumsum(size)
+            ids = self.ids[np.repeat(self.start[code] - ends + size, size) + np.arange(ends[-1])]
+            cuts = np.append(0, ends)[np.searchsorted(starts, np.append(begin, len(buf)))]
+            for k, i in enumerate(fast):
+                if k not in slow:
+                    out[i] = ids[cuts[k] : cuts[k + 1]]
+            if back:  # what is not remembered makes room
+                self.n_ids, self.n_codes = back
+        return [self._plain(t) if x is None else x for t, x in zip(texts, out, strict=True)]
 
 
 def encoder(path: str) -> Encoder:
@@ -196,10 +200,11 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int = 0, doc_id: str
         with store.open_output_stream(f"{at}/{name}.bin") as ids, store.open_output_stream(f"{at}/{name}.doc") as own, store.open_output_stream(f"{at}/{name}.len") as lens:
             for batch in parts:
                 sizes = []
-                for t in batch.column("text"):
-                    found = model.encode(t.as_py() or "")
-                    ids.write(np.append(found, end_id).astype(f"<u{model.width}").tobytes())
-                    sizes.append(len(found) + 1)
+                texts = [t if t is not None else b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
+                for a, b in batches(texts):
+                    for found in model.encode(texts[a:b]):
+                        ids.write(np.append(found, end_id).astype(f"<u{model.width}").tobytes())
+                        sizes.append(len(found) + 1)
                 own.write(batch.column("doc_id").fill_null(NO_ID).to_numpy().astype("<i8").tobytes())
                 lens.write(np.array(sizes, "<u4").tobytes())
                 n_docs, n_ids = n_docs + len(sizes), n_ids + sum(sizes)
