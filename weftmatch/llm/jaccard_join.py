@@ -13,7 +13,11 @@ two linked sets share at least k tokens among their first ``n - a + k``. With ``
 3. *combinations*: the rest is exact. Tokens of at most ``rare`` classes are keys of their own. Of the more frequent
    ones, pairs are keys: where only frequent tokens are shared, there are l of them, hence a shared pair among the
    first ``f - l + 2`` of a class's f frequent tokens. Keys whose classes already belong to one group are dropped, and
-   only classes of different groups of about equal size make candidates, each verified on the whole sets.
+   only classes of different groups of about equal size make candidates.
+
+Candidates pass a parity filter before anything else is read for them: bit b of a set's 1024 is the parity of its
+tokens that hash to b, and two sets differ in at least as many tokens as bits. The rest is verified on the whole sets,
+one partner a class at first: what that links need not be verified again.
 
 Defined results: null text, empty text and text without words have n_shingles 0 and stand alone. A text with fewer
 words than a shingle has the whole sequence as its one shingle. Rows without doc_id get component_id null unless a
@@ -36,6 +40,12 @@ from .shared import components, stored
 RARE = 200
 #: tokens by which a survivor looks for a star to join
 STARS = 3
+#: rounds that verify one pair a group, before the rest is verified
+TURNS = 2
+#: numbers of 64 parity bits of a set
+PARITY = 16
+#: parities are broadcast up to this many classes (35 MB), and shuffled beyond
+BROADCAST_ROWS = 1 << 18
 #: most bits of the filter that spares the second reading of texts that did not survive (32 MB)
 FILTER_BITS = 1 << 28
 
@@ -70,19 +80,26 @@ def _texts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def prefixes(docs: DataFrame, percent: int, words: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n (set size), cls (name of the set), prefix (its extended prefix, ascending)."""
+    """doc_id, n (set size), cls (name of the set), cut (last token of its plain prefix), prefix (its extended prefix, ascending)."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            n, cls, prefix = [], [], []
+            n, cls, cut, prefix = [], [], [], []
             for t in part.column("text").cast(pa.binary()):
                 s = _set_of(t.as_py(), words)
                 n.append(len(s))
                 cls.append(_class_of(s))
-                prefix.append(s[: max(0, 2 * (len(s) - _need(len(s), percent)) + 1)])
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), _lists(prefix)], names=["doc_id", "n", "cls", "prefix"])
+                spare = len(s) - _need(len(s), percent)
+                cut.append(int(s[spare]) if len(s) else None)
+                prefix.append(s[: 2 * spare + 1])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(x, pa.int64()) for x in (n, cls, cut)), _lists(prefix)], names=["doc_id", "n", "cls", "cut", "prefix"])
+
+    return _texts(docs, doc_id, text).mapInArrow(run, "doc_id long, n long, cls long, cut long, prefix array<long>")
 
-    return _texts(docs, doc_id, text).mapInArrow(run, "doc_id long, n long, cls long, prefix array<long>")
+
+def _parity(tokens: np.ndarray) -> np.ndarray:
+    odd = np.bincount((textnum.mix(tokens.view(np.uint64)) >> np.uint64(7)).astype(np.int64) & (64 * PARITY - 1), minlength=64 * PARITY) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8").astype(np.int64)
 
 
 def _shared_only(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,10 +123,6 @@ def _shared_only(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(x[out]) for x in rows], names=["token", "cls", "n"])
 
 
-def _prefix_len(n: Column, percent: int) -> Column:
-    return n - F.ceil(n * percent / 100.0).cast("long") + 1
-
-
 def _least_shared(percent: int) -> Column:
     """What a class must share with its smallest possible partner."""
     small = F.expr(f"CAST((n * {percent} + 99) DIV 100 AS BIGINT)")
@@ -123,7 +136,7 @@ def _survivors(postings: DataFrame, percent: int) -> DataFrame:
 
 
 def _whole_sets(docs: DataFrame, reps: DataFrame, words: int, doc_id: str, text: str) -> DataFrame:
-    """cls, items: the whole sets of the representatives ``reps`` (cls, doc_id)."""
+    """cls, items, parity: the whole sets of the representatives ``reps`` (cls, doc_id)."""
     bits = 1 << max(13, min(FILTER_BITS.bit_length() - 1, (16 * reps.count()).bit_length()))
 
     def slots(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,10 +157,22 @@ def _whole_sets(docs: DataFrame, reps: DataFrame, words: int, doc_id: str, text:
             hit = np.flatnonzero((sent.value[at >> 5] >> (at & 31).astype(np.uint32)) & np.uint32(1))
             texts = part.column("text").cast(pa.binary())
             sets = [_set_of(texts[int(i)].as_py(), words) for i in hit]
-            yield pa.RecordBatch.from_arrays([pa.array(ids[hit]), pa.array([_class_of(s) for s in sets], pa.int64()), _lists(sets)], names=["doc_id", "cls", "items"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[hit]), pa.array([_class_of(s) for s in sets], pa.int64()), _lists(sets), _lists([_parity(s) for s in sets])], names=["doc_id", "cls", "items", "parity"])
+
+    full = _texts(docs, doc_id, text).mapInArrow(run, "doc_id long, cls long, items array<long>, parity array<long>")
+    return stored(full.join(reps, ["cls", "doc_id"], "left_semi").select("cls", "items", "parity"), "sets")
+
 
-    full = _texts(docs, doc_id, text).mapInArrow(run, "doc_id long, cls long, items array<long>")
-    return stored(full.join(reps, ["cls", "doc_id"], "left_semi").select("cls", "items"), "sets")
+def _possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose parities allow a link."""
+    bits = sets.select("cls", "parity", F.size("items").alias("size"))
+    if sets.count() <= BROADCAST_ROWS:
+        bits = F.broadcast(bits)
+    side = lambda x: bits.select(F.col("cls").alias(x), F.col("parity").alias(f"parity_{x}"), F.col("size").alias(f"size_{x}"))
+    apart = sum((F.bit_count(F.col("parity_a")[i].bitwiseXOR(F.col("parity_b")[i])) for i in range(PARITY)), F.lit(0))
+    # |A| + |B| - |A n B| and |A n B| >= t |A u B| leave at most (1 - t) / (1 + t) of |A| + |B| apart
+    most = (F.col("size_a") + F.col("size_b")) * (100 - percent)
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(apart * (100 + percent) <= most).select(*pairs.columns)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -174,13 +199,14 @@ def _combinations(classes: DataFrame, percent: int) -> DataFrame:
     """(k1, k2, cls, n, grp): the keys of a class; k2 is null for a single token."""
     least = F.greatest(_least_shared(percent), F.lit(2))
     parted = classes.select(
-        "cls", "n", "grp",
+        "cls", "n", "grp", "cut",
         F.expr(f"transform(filter(tokens, x -> x.df <= {RARE}), x -> x.token)").alias("rare"),
         F.expr(f"transform(filter(tokens, x -> x.df > {RARE}), x -> x.token)").alias("often"),
         _least_shared(percent).alias("least"), least.alias("pairwise"),
     )
     first = parted.withColumn("m", (F.size("often") - F.col("pairwise") + 2).cast("int"))
-    single = "transform(IF(least <= 1, concat(rare, often), rare), x -> named_struct('k1', x, 'k2', CAST(NULL AS BIGINT)))"
+    # without frequent tokens, a link shows in the plain prefixes already
+    single = "transform(IF(size(often) = 0, filter(rare, x -> x <= cut), IF(least <= 1, concat(rare, often), rare)), x -> named_struct('k1', x, 'k2', CAST(NULL AS BIGINT)))"
     double = "IF(m >= 2, flatten(transform(sequence(1, IF(m >= 2, m - 1, 1)), i -> transform(slice(often, i + 1, greatest(m - i, 0)), y -> named_struct('k1', often[i - 1], 'k2', y)))), array())"
     keys = first.select("cls", "n", "grp", F.explode(F.expr(f"concat({single}, {double})")).alias("k"))
     return keys.select(F.col("k.k1").alias("k1"), F.coalesce("k.k2", F.col("k.k1")).alias("k2"), "cls", "n", "grp")
@@ -210,23 +236,34 @@ def groups(docs: DataFrame, percent: int = 80, words: int = 5, doc_id: str = "do
     sets = _whole_sets(docs, stored(by_class.join(classes, "cls", "left_semi").where("doc_id IS NOT NULL"), "reps"), words, doc_id, text)
 
     # 2. stars
-    near = stored(_verified(stored(_stars(classes, percent), "candidates"), sets, percent), "near")
-    grouped = components(near)
+    links = _verified(_possible(_stars(classes, percent), sets, percent), sets, percent)
+    grouped = components(links)
 
     # 3. combinations, between groups
-    labelled = classes.join(grouped.withColumnRenamed("node", "cls"), "cls", "left").withColumn("grp", F.coalesce("component", "cls"))
-    pairs = stored(_across(stored(_combinations(labelled, percent), "all_keys"), percent), "pairs")
-    far = stored(_verified(pairs, sets, percent), "far")
-    label = lambda x: far.join(grouped.select(F.col("node").alias(x), F.col("component").alias(f"{x}_grp")), x, "left").withColumn(x, F.coalesce(f"{x}_grp", x)).select("a", "b")
-    far = label("a")
-    far = label("b")
-    merged = components(far)
-
-    first = by_class.join(grouped.withColumnRenamed("node", "cls"), "cls", "left").withColumn("grp", F.coalesce("component", "cls")).select("cls", "doc_id", "grp")
-    second = first.join(merged.select(F.col("node").alias("grp"), "component"), "grp", "left").withColumn("grp", F.coalesce("component", "grp"))
+    named = lambda x: grouped.select(F.col("node").alias(x), F.col("component").alias(f"{x}_grp"))
+    labelled = classes.join(rows.select("cls", "cut").distinct(), "cls").join(named("cls"), "cls", "left").withColumn("grp", F.coalesce("cls_grp", "cls"))
+    pairs = stored(_possible(_across(stored(_combinations(labelled, percent), "all_keys"), percent), sets, percent), "pairs")
+    for turn in range(TURNS + 1):
+        apart = pairs.join(named("a"), "a", "left").join(named("b"), "b", "left").withColumn("a_grp", F.coalesce("a_grp", "a")).withColumn("b_grp", F.coalesce("b_grp", "b")).where("a_grp <> b_grp")
+        open_pairs = stored(apart, "open")
+        if turn < TURNS:  # each group's smallest pair, in turn seen from either side
+            x = "ab"[turn % 2]
+            tried = open_pairs.groupBy(F.col(f"{x}_grp").alias("g")).agg(F.min(F.struct("a", "b", "a_grp", "b_grp")).alias("p")).select("p.*").distinct()
+        else:
+            tried = open_pairs
+        tried = stored(tried, "tried")
+        if not tried.limit(1).count():
+            break
+        far = _verified(tried.select("a", "b"), sets, percent).join(tried, ["a", "b"]).select(F.col("a_grp").alias("a"), F.col("b_grp").alias("b"))
+        merged = components(far)
+        known = grouped.select("node", "component").union(open_pairs.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("a_grp").alias("component")), F.struct(F.col("b").alias("node"), F.col("b_grp").alias("component")))).alias("x")).select("x.*")).distinct()
+        grouped = stored(known.join(merged.select(F.col("node").alias("component"), F.col("component").alias("higher")), "component", "left").select("node", F.coalesce("higher", "component").alias("component")), "grouped")
+        pairs = open_pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti").select("a", "b")
+
+    second = by_class.join(named("cls"), "cls", "left").withColumn("grp", F.coalesce("cls_grp", "cls")).select("cls", "doc_id", "grp")
     least = second.groupBy("grp").agg(F.min("doc_id").alias("component_id"))
-    named = stored(second.join(least, "grp").select("cls", F.col("doc_id").alias("class_id"), "component_id"), "named")
-    out = rows.select("doc_id", "n", F.when(F.col("n") > 0, F.col("cls")).alias("cls")).join(named, "cls", "left")
+    labels = stored(second.join(least, "grp").select("cls", F.col("doc_id").alias("class_id"), "component_id"), "labels")
+    out = rows.select("doc_id", "n", F.when(F.col("n") > 0, F.col("cls")).alias("cls")).join(labels, "cls", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
