@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard_join, line_dedup, quality_rules, token_counts, token_files
+from . import decontaminate, jaccard_join, langid, line_dedup, pieces, quality_rules, token_counts, token_files, toxicity, url_filter
 from .shared import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _crc_mod(n: int):
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")), F.lit(0)) % n
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", _crc_mod(4) == 2)
+    model = langid.fit(docs.where("NOT held_out").select("doc_id", "text", "lang"))
+    return langid.identify(docs, model, ["doc_id", "held_out"])
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     led = quality_rules.ledger(table(spark, sf_dir, "documents"))
     return led.select(
@@ -55,13 +65,61 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", _crc_mod(3) == 1)
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    model = toxicity.fit(docs.where("NOT held_out").join(labels, "doc_id").select("doc_id", "text", "toxic"))
+    found = toxicity.score(docs, model, ["doc_id", "held_out"], spans=True)
+    return found.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"), n_best=4, with_ids=False)
+
+
+#: fixed values: the rules of the contract, and listed sites
+URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+URL_SITES = ["ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm"]
+URL_DOMAINS = ["example.com", "example.net", "example.org"]
+
+
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    listings = [(f"{site}.{domain}", "/", "block", False) for site in URL_SITES for domain in URL_DOMAINS]
+    listed = spark.createDataFrame([(*r, True) for r in URL_RULES] + listings, "host string, path string, verdict string, is_rule boolean")
+    return url_filter.judge(table(spark, sf_dir, "pages"), listed)
+
+
+OP10_SQL = """
+WITH rules(h, p, v) AS (VALUES {rules}), sites(s) AS (VALUES {sites}),
+u AS (
+  SELECT page_id, row_number() OVER () AS row_no,
+    CASE WHEN position('://' IN coalesce(url, '')) > 0 THEN translate(regexp_extract(substr(url, position('://' IN url) + 3), '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END AS host,
+    CASE WHEN position('://' IN coalesce(url, '')) > 0 THEN regexp_extract(substr(url, position('://' IN url) + 3), '^[^/?#]*([^?#]*)', 1) ELSE '' END AS path
+  FROM pages
+),
+hit AS (
+  SELECT row_no, h || p AS rule, v, row_number() OVER (PARTITION BY row_no ORDER BY length(h || p) DESC, length(h) DESC) AS k
+  FROM u JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)
+)
+SELECT u.page_id, u.host, u.path, hit.rule,
+  CASE WHEN hit.v IS NOT NULL THEN hit.v
+       WHEN starts_with(u.path, '/') AND EXISTS (SELECT 1 FROM sites WHERE u.host = s OR ends_with(u.host, '.' || s)) THEN 'block'
+       ELSE 'allow' END AS verdict
+FROM u LEFT JOIN hit ON u.row_no = hit.row_no AND hit.k = 1
+""".format(rules=", ".join(str(r) for r in URL_RULES), sites=", ".join(f"('{s}.{d}')" for s in URL_SITES for d in URL_DOMAINS))
+
+
 QUERIES: dict[str, Query] = {
+    "op1_language_id": op1_language_id,
     "op2_quality_rules": op2_quality_rules,
     "op3_jaccard_join": op3_jaccard_join,
     "op4_token_files": op4_token_files,
     "op5_decontaminate": op5_decontaminate,
     "op6_line_dedup": op6_line_dedup,
     "op7_token_counts": op7_token_counts,
+    "op8_toxicity": op8_toxicity,
+    "op9_sentencepiece": op9_sentencepiece,
+    "op10_url_filter": op10_url_filter,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op10_url_filter": OP10_SQL}

@@ -101,6 +101,22 @@ def hash_words(data: bytes, lower: bool = False, apart: np.ndarray = SPACE) -> n
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
+def hash_prefixes(data: bytes, sizes: tuple[int, ...], apart: np.ndarray = SPACE) -> tuple[np.ndarray, dict[int, np.ndarray]]:
+    """Hashes of the words of one text with A-Z folded, and for each size those of the first so many bytes of each word (0 where it has no more)."""
+    words, found = [], {k: [] for k in sizes}
+    for piece in _pieces(data):
+        buf = np.frombuffer(piece, np.uint8)
+        starts, ends = _spans(apart[buf])
+        words.append(_hash_spans(_LOWER_TABLE, buf, starts, ends))
+        for k in sizes:
+            at = np.flatnonzero(ends - starts > k)
+            out = np.zeros(len(starts), np.uint64)
+            out[at] = mix(_hash_spans(_LOWER_TABLE, buf, starts[at], starts[at] + k) + np.uint64(k))
+            found[k].append(out)
+    none = np.zeros(0, np.uint64)
+    return np.concatenate(words) if words else none, {k: np.concatenate(v) if v else none for k, v in found.items()}
+
+
 def batches(texts: list[bytes]) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about CHUNK bytes together, at least one text each."""
     at, size = 0, 0
