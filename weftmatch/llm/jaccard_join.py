@@ -10,9 +10,11 @@ two linked sets share at least k tokens among their first ``n - a + k``. With ``
    it keeps as many as its smallest possible partner must share with it. This is done twice.
 2. *stars*: survivors are compared with the smallest class under each of their first tokens. That joins most groups
    of near copies with one comparison a member.
-3. *combinations*: the rest is exact. Tokens of at most ``rare`` classes are keys of their own. Of the more frequent
-   ones, pairs are keys: where only frequent tokens are shared, there are l of them, hence a shared pair among the
-   first ``f - l + 2`` of a class's f frequent tokens. Keys whose classes already belong to one group are dropped, and
+3. *combinations*: the rest is exact. The whole sets of the survivors are ordered anew, tokens of few classes first, so
+   that tokens of one class alone, which are keys to nothing, fill the prefixes of all but real near copies. Tokens of
+   at most ``RARE`` classes are keys of their own. Of the more frequent ones, pairs are keys: where only frequent tokens
+   are shared, there are l of them, hence a shared pair among the first ``f - l + 2`` of a class's f frequent tokens in
+   its extended prefix. Keys whose classes already belong to one group are dropped, and
    only classes of different groups of about equal size make candidates.
 
 Candidates pass a parity filter before anything else is read for them: bit b of a set's 1024 is the parity of its
@@ -80,21 +82,20 @@ def _texts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def prefixes(docs: DataFrame, percent: int, words: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n (set size), cls (name of the set), cut (last token of its plain prefix), prefix (its extended prefix, ascending)."""
+    """doc_id, n (set size), cls (name of the set), prefix (its extended prefix, ascending)."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            n, cls, cut, prefix = [], [], [], []
+            n, cls, prefix = [], [], []
             for t in part.column("text").cast(pa.binary()):
                 s = _set_of(t.as_py(), words)
                 n.append(len(s))
                 cls.append(_class_of(s))
                 spare = len(s) - _need(len(s), percent)
-                cut.append(int(s[spare]) if len(s) else None)
                 prefix.append(s[: 2 * spare + 1])
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(x, pa.int64()) for x in (n, cls, cut)), _lists(prefix)], names=["doc_id", "n", "cls", "cut", "prefix"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(x, pa.int64()) for x in (n, cls)), _lists(prefix)], names=["doc_id", "n", "cls", "prefix"])
 
-    return _texts(docs, doc_id, text).mapInArrow(run, "doc_id long, n long, cls long, cut long, prefix array<long>")
+    return _texts(docs, doc_id, text).mapInArrow(run, "doc_id long, n long, cls long, prefix array<long>")
 
 
 def _parity(tokens: np.ndarray) -> np.ndarray:
@@ -195,21 +196,56 @@ def _stars(classes: DataFrame, percent: int) -> DataFrame:
     return keys.join(centers, "token").where((F.col("a") < F.col("cls")) & _alike("n", "m", percent)).select("a", F.col("cls").alias("b")).distinct()
 
 
+def _counted(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows in order of token: the rows of tokens that two or more classes have, with their number, RARE + 1 at most."""
+    held = np.zeros((3, 0), np.int64)  # the last token's rows so far, RARE + 1 at most
+    over = False  # the last token has more, and what came of it has been sent
+    names = ["token", "cls", "n", "df"]
+    for part in parts:
+        rows = np.concatenate((held, np.stack([part.column(c).to_numpy() for c in names[:3]])), axis=1)
+        start = np.concatenate(([0], np.flatnonzero(rows[0, 1:] != rows[0, :-1]) + 1))
+        size = np.diff(np.append(start, rows.shape[1]))
+        count = np.minimum(size, RARE + 1)
+        if over:
+            count[0] = RARE + 1
+        if count[-1] <= RARE:
+            cut, held, over = start[-1], rows[:, start[-1] :], False
+        else:  # one row is kept so that the next ones are known to be of the same token
+            cut, held, over = rows.shape[1] - 1, rows[:, -1:], True
+        df = np.repeat(count, size)[:cut]
+        out = df > 1
+        yield pa.RecordBatch.from_arrays([*(pa.array(x[:cut][out]) for x in rows), pa.array(df[out])], names=names)
+    if held.shape[1] and (over or held.shape[1] > 1):
+        df = np.full(held.shape[1], RARE + 1 if over else held.shape[1])
+        yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in held), pa.array(df)], names=names)
+
+
+def _ordered(sets: DataFrame, percent: int) -> DataFrame:
+    """cls, n, plain, tokens: of classes with a shared token in their plain prefix, how many it has and the shared tokens
+    of the extended prefix, those of few classes first."""
+    rows = sets.select(F.explode("items").alias("token"), "cls", F.size("items").cast("long").alias("n"))
+    counted = rows.repartition("token").sortWithinPartitions("token").mapInArrow(_counted, "token long, cls long, n long, df long")
+    listed = counted.groupBy("cls", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("all"))
+    spare = F.expr(f"n - (n * {percent} + 99) DIV 100")
+    alone = F.col("n") - F.size("all")  # tokens of this class only come first
+    out = listed.withColumn("plain", (spare + 1 - alone).cast("int")).withColumn("long", (2 * spare + 1 - alone).cast("int")).where("plain > 0")
+    return out.select("cls", "n", "plain", F.slice("all", 1, F.col("long")).alias("tokens"))
+
+
 def _combinations(classes: DataFrame, percent: int) -> DataFrame:
-    """(k1, k2, cls, n, grp): the keys of a class; k2 is null for a single token."""
-    least = F.greatest(_least_shared(percent), F.lit(2))
+    """(k1, k2, cls, n, grp): the keys of a class; k2 repeats k1 for a single token."""
     parted = classes.select(
-        "cls", "n", "grp", "cut",
+        "cls", "n", "grp", "plain",
         F.expr(f"transform(filter(tokens, x -> x.df <= {RARE}), x -> x.token)").alias("rare"),
         F.expr(f"transform(filter(tokens, x -> x.df > {RARE}), x -> x.token)").alias("often"),
-        _least_shared(percent).alias("least"), least.alias("pairwise"),
+        _least_shared(percent).alias("least"), F.greatest(_least_shared(percent), F.lit(2)).alias("pairwise"),
     )
     first = parted.withColumn("m", (F.size("often") - F.col("pairwise") + 2).cast("int"))
     # without frequent tokens, a link shows in the plain prefixes already
-    single = "transform(IF(size(often) = 0, filter(rare, x -> x <= cut), IF(least <= 1, concat(rare, often), rare)), x -> named_struct('k1', x, 'k2', CAST(NULL AS BIGINT)))"
+    single = "transform(IF(size(often) = 0, slice(rare, 1, plain), IF(least <= 1, concat(rare, often), rare)), x -> named_struct('k1', x, 'k2', x))"
     double = "IF(m >= 2, flatten(transform(sequence(1, IF(m >= 2, m - 1, 1)), i -> transform(slice(often, i + 1, greatest(m - i, 0)), y -> named_struct('k1', often[i - 1], 'k2', y)))), array())"
     keys = first.select("cls", "n", "grp", F.explode(F.expr(f"concat({single}, {double})")).alias("k"))
-    return keys.select(F.col("k.k1").alias("k1"), F.coalesce("k.k2", F.col("k.k1")).alias("k2"), "cls", "n", "grp")
+    return keys.select("k.k1", "k.k2", "cls", "n", "grp")
 
 
 def _across(keys: DataFrame, percent: int) -> DataFrame:
@@ -241,7 +277,7 @@ def groups(docs: DataFrame, percent: int = 80, words: int = 5, doc_id: str = "do
 
     # 3. combinations, between groups
     named = lambda x: grouped.select(F.col("node").alias(x), F.col("component").alias(f"{x}_grp"))
-    labelled = classes.join(rows.select("cls", "cut").distinct(), "cls").join(named("cls"), "cls", "left").withColumn("grp", F.coalesce("cls_grp", "cls"))
+    labelled = _ordered(sets, percent).join(named("cls"), "cls", "left").withColumn("grp", F.coalesce("cls_grp", "cls"))
     pairs = stored(_possible(_across(stored(_combinations(labelled, percent), "all_keys"), percent), sets, percent), "pairs")
     for turn in range(TURNS + 1):
         apart = pairs.join(named("a"), "a", "left").join(named("b"), "b", "left").withColumn("a_grp", F.coalesce("a_grp", "a")).withColumn("b_grp", F.coalesce("b_grp", "b")).where("a_grp <> b_grp")
