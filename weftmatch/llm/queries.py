@@ -68,7 +68,7 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", _crc_mod(3) == 1)
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
-    model = toxicity.fit(docs.where("NOT held_out").join(labels, "doc_id").select("doc_id", "text", "toxic"))
+    model = toxicity.fit(docs.where("NOT held_out"), labels)
     found = toxicity.score(docs, model, ["doc_id", "held_out"], spans=True)
     return found.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
 

@@ -33,8 +33,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textnum
+from .shared import stored
 
-PER_LABEL = 20_000
+PER_LABEL = 5_000
 PRIOR = 10.0
 MIN_Z = 2.5
 BEGINS = (6, 5, 4)
@@ -129,14 +130,20 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
     return tuple(float(v) for v in np.append(w[0], w[1:] / scale))
 
 
-def fit(labelled: DataFrame, text: str = "text", label: str = "toxic", per_label: int = PER_LABEL) -> Model:
-    """A model from rows with a text and a label 0 or 1."""
-    rows = labelled.select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), F.col(label).cast("int").alias("y"), F.xxhash64(*labelled.columns).alias("h")).where("y IN (0, 1)")
-    sizes = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
+def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", per_label: int = PER_LABEL) -> Model:
+    """A model from the texts of ``docs`` that ``labels`` marks 0 or 1.
+
+    Which labelled documents are taken is decided on the labels alone; their ids, about 2 * per_label rows, are
+    broadcast, so that no other text moves."""
+    marks = labels.select(F.col(doc_id).alias("id_"), F.col(label).cast("int").alias("y")).where("y IN (0, 1) AND id_ IS NOT NULL")
+    marks = marks.join(docs.select(F.col(doc_id).alias("id_")).distinct(), "id_", "left_semi")
+    sizes = {r["y"]: r["count"] for r in marks.groupBy("y").count().collect()}
     if len(sizes) < 2:
         return Model(np.zeros(0, np.uint64), np.zeros(0))
     share = F.when(F.col("y") == 1, min(1.0, per_label / sizes[1])).otherwise(min(1.0, per_label / sizes[0]))
-    sample = rows.where(F.pmod("h", F.lit(1 << 20)) < share * (1 << 20)).select("text", "y")
+    chosen = marks.where(F.pmod(F.xxhash64("id_", F.lit(1)), F.lit(1 << 20)) < share * (1 << 20))
+    plain = docs.select(F.col(doc_id).alias("id_"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    sample = stored(plain.join(F.broadcast(chosen), "id_").select("text", "y"), "labelled")
 
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -165,7 +172,7 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "toxic", per_label
     model = Model(words[order], chosen["score"].to_numpy(float)[order])
 
     # lambda: the positive root of sum p exp(lambda s) = 1 over the scores of words in texts that are not toxic
-    sent = labelled.sparkSession.sparkContext.broadcast(model)
+    sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def histogram(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -184,7 +191,7 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "toxic", per_label
         mid = (low + high) / 2
         low, high = (mid, high) if root(mid) < 0 else (low, mid)
     model.scale = high
-    sent = labelled.sparkSession.sparkContext.broadcast(model)
+    sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def features(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -196,7 +203,7 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "toxic", per_label
     seen = sample.mapInArrow(features, "y int, best double, n double, total double").toPandas()
     calm = seen[seen["y"] == 0]
     model.log_k = float((calm["best"] - calm["n"]).mean() - 0.5772156649) if len(calm) else 0.0
-    sent = labelled.sparkSession.sparkContext.broadcast(model)
+    sent = docs.sparkSession.sparkContext.broadcast(model)
     again = lambda parts: features(parts)
     seen = sample.mapInArrow(again, "y int, best double, n double, total double").toPandas()
     x = np.column_stack((np.log1p(seen["best"]), np.log1p(np.maximum(seen["total"], 0.0)), seen["n"]))
