@@ -144,8 +144,8 @@ def parse_page_range(spec: Column, pages: Column) -> Column:
         one = F.regexp_extract(p, r"^(\d{1,6})$", 1)
         lo = F.when(a != "", F.least(a.cast("int"), b.cast("int"))).when(one != "", one.cast("int"))
         hi = F.when(a != "", F.greatest(a.cast("int"), b.cast("int"))).when(one != "", F.when(alone, pages).otherwise(one.cast("int")))
-        lo, hi = F.greatest(lo, F.lit(1)), F.least(hi, pages)
-        return F.when(lo <= hi, F.sequence(lo, hi)).otherwise(F.array().cast("array<int>"))
+        first, last = F.greatest(lo, F.lit(1)), F.least(hi, pages)  # these pass over nulls
+        return F.when(lo.isNotNull() & (first <= last), F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
 
     return F.array_sort(F.array_distinct(F.flatten(F.transform(parts, span))))
 
