@@ -9,7 +9,7 @@ that cannot reach it in any range, coarse or fine, even at its words' largest we
 ends there; the others go through WAND with block maxima.
 
 A document and an item are reported if the document holds at least ``share`` of the 5-word shingles of the item's
-question and the matched passages hold at least ``share`` of the words of its answer. The answer is the last sentence
+question (of the whole item, where its question is shorter) and the matched passages hold at least ``share`` of the words of its answer. The answer is the last sentence
 of an item, or its last third where it is one sentence.
 
 Words are compared without case (A-Z) and ASCII punctuation.
@@ -39,6 +39,8 @@ BLOCK = 16
 RANGES, FINE, FINE_BYTES = 64, 512, 64 << 20
 BLOCK_BYTES = 4 << 20
 K1, B = 1.2, 0.75
+#: words of a shingle; all words of a shorter item
+GRAM = 5
 _END = re.compile(r"(?<=[.!?])\s+(?=\S)")
 
 
@@ -57,8 +59,8 @@ def question_and_answer(text: str) -> tuple[np.ndarray, np.ndarray]:
     return question, answer
 
 
-def _grams(words: np.ndarray) -> np.ndarray:
-    return np.unique(textnum.shingles(words, 5))
+def _grams(words: np.ndarray, k: int = GRAM) -> np.ndarray:
+    return np.unique(textnum.shingles(words, k))
 
 
 @dataclass
@@ -71,7 +73,7 @@ class Index:
     weights: np.ndarray
     top: np.ndarray
     item_of: list[int]
-    items: dict[int, tuple[np.ndarray, np.ndarray]]
+    items: dict[int, tuple[int, np.ndarray, np.ndarray]]
     block_top: list[np.ndarray] = field(default_factory=list)
     #: largest weight of each term in each of at most RANGES ranges of units; the last row is for words without a term
     range_top: np.ndarray | None = None
@@ -90,7 +92,9 @@ def build_index(items: list[tuple[int, str]], n_units: int | None = None, df: di
         if not len(words):
             continue
         question, answer = question_and_answer(text)
-        known[item] = (_grams(question), np.unique(answer))
+        k = min(GRAM, len(words))
+        # a question of fewer words has no shingle of its own: the whole item stands for it
+        known[item] = (k, _grams(question if len(question) >= k else words, k), np.unique(answer))
         pieces = max(1, -(-len(words) // UNIT))
         for piece in np.array_split(words, pieces):
             units.append(piece)
@@ -209,13 +213,15 @@ def verify(index: Index, text: bytes, found: dict[int, tuple[float, list[int]]])
     if not found:
         return []
     words = _words(text)
-    grams = _grams(words)
+    grams: dict[int, np.ndarray] = {}
     out = []
     for item, (score, places) in sorted(found.items()):
-        question, answer = index.items[item]
+        k, question, answer = index.items[item]
+        if k not in grams:
+            grams[k] = _grams(words, k)
         # the passages and a step on either side, as an item may reach beyond what retrieved it
         near = np.concatenate([words[max(0, (p - 1) * STEP) : (p + 3) * STEP] for p in places])
-        out.append((item, score, float(np.isin(question, grams).mean()), float(np.isin(answer, near).mean()), min(places) * STEP))
+        out.append((item, score, float(np.isin(question, grams[k]).mean()), float(np.isin(answer, near).mean()), min(places) * STEP))
     return out
 
 
