@@ -29,7 +29,7 @@ def _prose(seed: int, n: int) -> str:
 @pytest.fixture(scope="module")
 def docs(spark):
     """Nulls, empty and long texts, ties, repeated rows and columns with the names that operators use within."""
-    long = _prose(1, 20_000)
+    long = "\n".join(_prose(i, 50) for i in range(400))
     near = _prose(2, 300)
     rows = [
         (1, None), (2, ""), (3, " \n\t "), (4, long), (5, long.replace("river7", "lake7")), (6, near), (7, near + " and more"), (7, near + " and more"), (8, near),
