@@ -154,7 +154,7 @@ def _near_copies():
     return rows
 
 
-@pytest.mark.parametrize("percent, words, rare", [(85, 4, 200), (70, 1, 2)])
+@pytest.mark.parametrize("percent, words, rare", [(85, 4, 200), (80, 5, 200), (80, 2, 2), (70, 1, 2)])
 def test_jaccard_groups(spark, monkeypatch, percent, words, rare):
     monkeypatch.setattr(jaccard_join, "RARE", rare)
     rows = _near_copies()
