@@ -407,3 +407,12 @@ def test_pipeline_stages_of_nothing(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, SF).count() == 0
+
+
+def test_pipeline_returns_texts_and_ids(spark):
+    path = queries.tokenizer("piece_bpe_32k.model")
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(20)
+    name, stage = corpus_pipeline.STAGES[-1]
+    back = pieces.decode(stage(spark, docs, SF), path, "ids", "again").collect()
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    assert len(back) == 20 and all(r.text == r.again == texts[r.doc_id] and len(r.n_best_ids) == len(r.scores) for r in back)
