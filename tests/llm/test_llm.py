@@ -364,6 +364,18 @@ def test_pieces_round_trip(docs, nothing):
     assert pieces.encode(nothing, path).count() == 0
 
 
+def test_pieces_query_returns_every_segmentation(spark):
+    path = queries.tokenizer("piece_bpe_32k.model")
+    own = pieces.model(path)
+    texts = dict(_pdf(spark, "documents")[["doc_id", "text"]].itertuples(index=False))
+    for r in queries.op9_sentencepiece(spark, SF).collect():
+        text = texts[r.doc_id] or ""
+        ways = [tuple(w) for w in r.n_best_ids]
+        assert len(ways) == len(set(ways)) == len(r.scores) and ways[0] == tuple(r.ids) and r.n_pieces == len(r.ids) and r.decoded
+        assert r.ids_crc32 == zlib.crc32(np.array(r.ids, "<u4").tobytes())
+        assert all(own.decode(np.array(w, np.int64)) == text for w in ways)
+
+
 # 10
 
 

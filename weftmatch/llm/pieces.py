@@ -12,7 +12,8 @@ a Zipf law, ``-log((r + 1) * H)`` with H the harmonic sum over the vocabulary, b
 No piece spans a word start, a line break or most places between letters and punctuation, so the lattice falls apart
 at such cuts. Equal parts are solved once per worker (``CACHE``), with their best and second best score. Of a whole
 text, only the N - 1 parts with the smallest difference between the two can differ among its N best segmentations;
-A* runs over the joined lattice of these, the other parts standing at their best. Equal scores may come in any order.
+A* runs over the joined lattice of these, the other parts standing at their best. Equal scores may come in any order,
+but the first segmentation is the one of ``ids``.
 
 Defined results: a null or empty text has no pieces, score 0 and the one empty segmentation. Decoding gives back the
 text. Equal rows are encoded each for itself; an empty table gives an empty table; columns named in ``keep`` are
@@ -178,7 +179,24 @@ class Model:
         at = at[np.isfinite(loss[at])].tolist()
         ways = self.n_best([parts[i] for i in at], n)
         rest = total - math.fsum(found[i][1] for i in at)
-        return flat, [rest + s for s, _ in ways], [dict(zip(at, w, strict=True)) for _, w in ways], ids
+        # of equal scores the best ids come first; where even n others are equal to them, for the last of these
+        first, others = [found[i][0] for i in at], [w for _, w in ways]
+        others = [first, *[w for w in others if w != first]][: len(ways)]
+        return flat, [rest + s for s, _ in ways], [dict(zip(at, w, strict=True)) for w in others], ids
+
+    def segmentations(self, flat: np.ndarray, ways: list[dict[int, tuple[int, ...]]], ids: tuple[tuple[int, ...], ...]) -> list[np.ndarray]:
+        """The ids of each of the n best, from what ``encode`` returns."""
+        if len(ways) == 1 and not ways[0]:
+            return [flat]
+        ends = np.cumsum([0, *map(len, ids)])
+        out = []
+        for way in ways:
+            pieces, at = [], 0
+            for k in sorted(way):
+                pieces += [flat[at : ends[k]], np.array(way[k], np.int32)]
+                at = ends[k + 1]
+            out.append(np.concatenate([*pieces, flat[at:]]))
+        return out
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of some ids."""
@@ -196,9 +214,15 @@ def model(path: str) -> Model:
     return _models[path]
 
 
+def _lists(rows: list[np.ndarray]) -> pa.ListArray:
+    """Arrow lists of some arrays of ids."""
+    ends = np.cumsum([0, *map(len, rows)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(rows).astype(np.int32), pa.int32()))
+
+
 def encode(docs: DataFrame, path: str, n_best: int = 4, keep: Iterable[str] = ("doc_id",), text: str = "text", with_ids: bool = True) -> DataFrame:
     """Columns ``keep``; n_pieces, ids_crc32 (of the best ids as little-endian 32-bit integers), scores (of the n best,
-    best first), decoded (the ids give back the text); with ``with_ids`` also ids and n_best_ids."""
+    best first), decoded (each of the n best gives back the text); with ``with_ids`` also ids and n_best_ids."""
     keep = list(keep)
     plain = docs.select(*[F.col(c).alias(f"keep_{i}") for i, c in enumerate(keep)], F.col(text).cast("string").alias("text_"))
     added = "n_pieces long, ids_crc32 long, scores array<double>, decoded boolean" + ", ids array<int>, n_best_ids array<array<int>>" * with_ids
@@ -209,19 +233,23 @@ def encode(docs: DataFrame, path: str, n_best: int = 4, keep: Iterable[str] = ("
         for part in parts:
             texts = [t if t is not None else b"" for t in part.column("text_").cast(pa.binary()).to_pylist()]
             for a, b in textnum.batches(texts):
-                rows: dict[str, list] = {k: [] for k in schema.names[len(keep) :]}
+                n_pieces, crcs, all_scores, decoded, firsts, ways_of, n_ways = [], [], [], [], [], [], [0]
                 for raw in texts[a:b]:
                     t = raw.decode()
                     ids, scores, ways, of_parts = own.encode(t, n_best)
-                    rows["n_pieces"].append(len(ids))
-                    rows["ids_crc32"].append(zlib.crc32(ids.astype("<u4").tobytes()))
-                    rows["scores"].append(scores)
-                    rows["decoded"].append(own.decode(ids) == t)
+                    each = own.segmentations(ids, ways, of_parts)
+                    n_pieces.append(len(ids))
+                    crcs.append(zlib.crc32(ids.astype("<u4").tobytes()))
+                    all_scores.append(scores)
+                    decoded.append(all(own.decode(x) == t for x in each))
                     if with_ids:
-                        rows["ids"].append(ids.tolist())
-                        rows["n_best_ids"].append([[i for k, x in enumerate(of_parts) for i in way.get(k, x)] for way in ways])
-                kinds = {"n_pieces": pa.int64(), "ids_crc32": pa.int64(), "scores": pa.list_(pa.float64()), "decoded": pa.bool_(), "ids": pa.list_(pa.int32()), "n_best_ids": pa.list_(pa.list_(pa.int32()))}
-                yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in part.columns[:-1]), *(pa.array(v, kinds[k]) for k, v in rows.items())], names=schema.names)
+                        firsts.append(ids)
+                        ways_of.extend(each)
+                        n_ways.append(len(ways_of))
+                made = [pa.array(n_pieces, pa.int64()), pa.array(crcs, pa.int64()), pa.array(all_scores, pa.list_(pa.float64())), pa.array(decoded, pa.bool_())]
+                if with_ids:
+                    made += [_lists(firsts), pa.ListArray.from_arrays(pa.array(n_ways, pa.int32()), _lists(ways_of))]
+                yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in part.columns[:-1]), *made], names=schema.names)
 
     return plain.mapInArrow(run, schema).withColumnsRenamed({f"keep_{i}": c for i, c in enumerate(keep)})
 

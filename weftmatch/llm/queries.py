@@ -74,7 +74,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces.encode(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"), n_best=4, with_ids=False)
+    return pieces.encode(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"), n_best=4)
 
 
 #: fixed values: the rules of the contract, and listed sites
