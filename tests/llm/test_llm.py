@@ -301,6 +301,12 @@ def test_line_dedup_of_odd_rows(docs, nothing):
     assert line_dedup.filter_lines(docs).columns == docs.columns and line_dedup.dedup_lines(nothing).count() == 0
 
 
+def test_lines_that_differ_in_figures_stay(spark):
+    rows = [(1, "EUR 1,204.50\nChapter 3\nहिन्दी में"), (2, "EUR 99\nChapter 12\nहन्दी में"), (3, "eur 1 204 50!\nCHAPTER 3\n17")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.text for r in line_dedup.dedup_lines(docs, line_dedup.FULL).collect()} == {1: rows[0][1], 2: rows[1][1], 3: "17"}
+
+
 # 8
 
 

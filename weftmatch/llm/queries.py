@@ -58,7 +58,7 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents"), line_dedup.FULL).select("doc_id", "n_lines", "n_removed", "text")
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
