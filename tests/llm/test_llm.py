@@ -307,6 +307,12 @@ def test_lines_that_differ_in_figures_stay(spark):
     assert {r.doc_id: r.text for r in line_dedup.dedup_lines(docs, line_dedup.FULL).collect()} == {1: rows[0][1], 2: rows[1][1], 3: "17"}
 
 
+def test_copies_with_letterless_lines_go(spark):
+    text = "one line of words that is long enough\n\n\t\n----\n12\nanother line of words that is long enough"
+    docs = spark.createDataFrame([(1, text), (2, text), (3, "----\n12"), (4, None), (5, "")], "doc_id long, text string")
+    assert {r.doc_id: r.text for r in line_dedup.filter_lines(docs).collect()} == {1: text, 3: "----\n12", 4: None, 5: ""}
+
+
 # 8
 
 
