@@ -11,6 +11,7 @@ import __spark_entry__
 from weftmatch.config import EngineConfig, resolve_threshold
 from weftmatch.functions import similarity as sim
 from weftmatch.functions import text as tx
+from weftmatch.operators import sentences as st
 from weftmatch.operators import sequences as sq
 from weftmatch.operators import statistics as stats
 from weftmatch.plans import overlap
@@ -136,3 +137,9 @@ def test_settings():
     assert EngineConfig(threshold=0.05).problems() and EngineConfig(max_size="101MB").problems() and EngineConfig(enabled=frozenset({"cosine"})).problems()
     assert EngineConfig(enabled=frozenset()).weight("cosine") == 0.4
     assert (resolve_threshold(None, None), resolve_threshold(None, EngineConfig()), resolve_threshold(0.3, None)) == (0.5, 0.6, 0.3)
+
+
+def test_paragraph_numbers_of_four_digits(spark):
+    df = spark.createDataFrame([(1, "\n".join(["Some words stand here."] * 1001), False)], "doc_id long, text string, is_sample boolean")
+    got = [r.paragraph_id for r in st.sentences(df).orderBy("idx").collect()]
+    assert got == [f"DOAN_{i:03}" for i in range(1, 1002)]

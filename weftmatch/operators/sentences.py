@@ -18,10 +18,11 @@ def numbered_sentences(text: Column) -> Column:
 
 def sentences(docs: DataFrame) -> DataFrame:
     """doc_id, is_sample, idx (from 1), paragraph_id, content, clean_content of every eligible sentence."""
+    number = F.col("s.paragraph").cast("string")
     rows = docs.select("doc_id", "is_sample", F.posexplode(numbered_sentences(F.col("text"))).alias("pos", "s"))
     return rows.select(
         "doc_id", "is_sample", (F.col("pos") + 1).alias("idx"),
-        F.concat(F.lit("DOAN_"), F.lpad(F.col("s.paragraph").cast("string"), 3, "0")).alias("paragraph_id"),
+        F.concat(F.lit("DOAN_"), F.lpad(number, F.greatest(F.lit(3), F.length(number)), "0")).alias("paragraph_id"),
         F.col("s.sentence").alias("content"), tx.clean_text(F.col("s.sentence")).alias("clean_content"),
     )
 
