@@ -313,6 +313,11 @@ def test_copies_with_letterless_lines_go(spark):
     assert {r.doc_id: r.text for r in line_dedup.filter_lines(docs).collect()} == {1: text, 3: "----\n12", 4: None, 5: ""}
 
 
+def test_a_line_of_a_million_words(spark):
+    docs = spark.createDataFrame([(1, "word " * 1_100_000)], "doc_id long, text string")
+    assert line_dedup.hashed_lines(docs).first().simhash == spark.range(1).select(F.xxhash64(F.lit("word"))).first()[0]
+
+
 # 8
 
 
