@@ -2,50 +2,103 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; only where it is unset (tests), one of our own."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Only where that is unset and Spark runs in one process (tests), a folder of our own; on a cluster this is an error,
+    as executors do not see each other's temporary folders."""
     root = spark.conf.get("spark.checkpoint.dir", None)
+    known = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if not root and known.isDefined():
+        return known.get()
     if not root:
-        known = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if known.isDefined():
-            return known.get()
-        root = "file://" + tempfile.mkdtemp(prefix="shared-")
-        spark.sparkContext.setCheckpointDir(root)
-    elif not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="shared-", dir=os.environ.get("TMPDIR"))
+    if not known.isDefined():
         spark.sparkContext.setCheckpointDir(root)
     return root
 
 
+@contextmanager
+def _shuffles_cleaned(spark: SparkSession) -> Iterator[None]:
+    """While a table is written, its shuffle files go as soon as it stands."""
+    before = spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEAN)
+        else:
+            spark.conf.set(_CLEAN, before)
+
+
+class Scratch:
+    """The tables that one call of an operator writes to the shared folder.
+
+    ``put`` writes a table and reads it again, a cut in the lineage that outlives executors; ``drop`` deletes tables that
+    nothing reads any more."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.root = f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
+        self.paths: list[tuple[DataFrame, str]] = []
+
+    def put(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{self.root}/{name}-{len(self.paths)}"
+        with _shuffles_cleaned(self.spark):
+            df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths.append((out, path))
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        for table in tables:
+            for known, path in self.paths:
+                if known is table:
+                    where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+                    where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet in the shared folder and read again: a cut in the lineage that outlives executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """``df`` written to the shared folder and read again."""
+    return Scratch(df.sparkSession).put(df, name)
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch, max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of ``edges`` (a, b: long); the component is its smallest node.
 
-    Each round sends labels over the links, keeps the smallest and follows labels of labels, which halves the
-    distance to the smallest node; every round is written to the shared folder. Empty links give an empty table.
+    Each round takes the label of a node's label, sends it over the links, and hooks both the node and its label to the
+    smallest that arrives, so that trees merge at their roots; chains take a logarithmic number of rounds. Every round
+    is written to the shared folder and the one before it deleted. Empty links give an empty table.
     """
-    both = stored(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "links")
-    labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("component")), "labels")
+    both = scratch.put(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "links")
+    labels = scratch.put(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("component")), "labels")
     for _ in range(max_rounds):
-        sent = both.join(labels, both.a == labels.node).select(F.col("b").alias("node"), "component")
-        least = sent.union(labels).groupBy("node").agg(F.min("component").alias("component"))
         up = labels.select(F.col("node").alias("component"), F.col("component").alias("higher"))
-        new = stored(least.join(up, "component").select("node", F.least("component", "higher").alias("component")), "labels")
-        changed = new.join(labels.withColumnRenamed("component", "before"), "node").where("component <> before").limit(1).count()
+        grand = labels.select("node", "component").join(up, "component")
+        near = both.join(grand.select(F.col("node").alias("b"), "higher"), "b").groupBy(F.col("a").alias("node")).agg(F.min("higher").alias("near"))
+        seen = grand.join(near, "node")
+        own = seen.select("node", F.least("higher", "near").alias("component"), F.col("component").alias("before"))
+        hooked = seen.select(F.col("component").alias("node"), F.col("near").alias("component"), F.lit(None).cast("long").alias("before"))
+        new = scratch.put(own.union(hooked).groupBy("node").agg(F.min("component").alias("component"), F.max("before").alias("before")), "labels")
+        scratch.drop(labels)
         labels = new
-        if not changed:
+        if not labels.where("component <> before").limit(1).count():
+            scratch.drop(both)
             return labels
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
