@@ -332,7 +332,7 @@ def test_lines_that_differ_in_figures_stay(spark):
 
 
 def test_copies_with_letterless_lines_go(spark):
-    text = "one line of words that is long enough\n\n\t\n----\n12\nanother line of words that is long enough"
+    text = "one line of words that is long enough\n\n\t\n----\n12\na second row with quite different content here"
     docs = spark.createDataFrame([(1, text), (2, text), (3, "----\n12"), (4, None), (5, "")], "doc_id long, text string")
     assert {r.doc_id: r.text for r in line_dedup.filter_lines(docs).collect()} == {1: text, 3: "----\n12", 4: None, 5: ""}
 
