@@ -168,6 +168,13 @@ def test_jaccard_query(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in queries.op3_jaccard_join(spark, SF).collect()} == want
 
 
+def test_jaccard_links_through_a_row_without_id(spark):
+    words = _prose(11, 60).split()
+    rows = [(1, " ".join(words)), (None, " ".join(words[:-4])), (3, " ".join(words[:-8]))]
+    got = {r.doc_id: r.component_id for r in jaccard_join.groups(spark.createDataFrame(rows, "doc_id long, text string"), 85, 4).collect()}
+    assert got == {1: 1, None: 1, 3: 1}
+
+
 def test_jaccard_of_odd_rows(spark, docs, nothing):
     got = {(r.doc_id, r.n_shingles > 0, r.component_id) for r in jaccard_join.groups(docs).collect()}
     assert {(1, False, 1), (2, False, 2), (3, False, 3), (8, True, 6), (7, True, 6), (10, True, 9), (None, True, None)} <= got

@@ -12,18 +12,22 @@ two linked sets share at least k tokens among their first ``n - a + k``. With ``
    of near copies with one comparison a member.
 3. *combinations*: the rest is exact. The whole sets of the survivors are ordered anew, tokens of few classes first, so
    that tokens of one class alone, which are keys to nothing, fill the prefixes of all but real near copies. Tokens of
-   at most ``RARE`` classes are keys of their own. Of the more frequent ones, pairs are keys: where only frequent tokens
-   are shared, there are l of them, hence a shared pair among the first ``f - l + 2`` of a class's f frequent tokens in
-   its extended prefix. Keys whose classes already belong to one group are dropped, and
-   only classes of different groups of about equal size make candidates.
+   at most ``RARE`` classes are keys of their own. The classes under a more frequent token would all meet, so it is
+   combined: they are compared with the smallest class that has it, the centre, and those that do not link with it are keyed by
+   pairs of the centre and a token of the difference to it. If x and y link and y does not link with the centre c, their
+   differences D to c share more than (|D(x)| + k (|c| - |x|)) / 2 tokens, with k = (1 - t) / (1 + t); so the first
+   |D(x)| - that tokens of D(x) hold a shared one, again with tokens of one class alone first. Keys whose classes already
+   belong to one group are dropped, and only classes of different groups of about equal size make candidates.
 
 Candidates pass a parity filter before anything else is read for them: bit b of a set's 1024 is the parity of its
 tokens that hash to b, and two sets differ in at least as many tokens as bits. The rest is verified on the whole sets,
 one partner a class at first: what that links need not be verified again.
 
 Defined results: null text, empty text and text without words have n_shingles 0 and stand alone. A text with fewer
-words than a shingle has the whole sequence as its one shingle. Rows without doc_id get component_id null unless a
-row with the same set has one. Repeated rows are members of one class. An empty table gives an empty table.
+words than a shingle has the whole sequence as its one shingle. doc_id is an integer (or text that holds one; other
+text is an error). Rows without doc_id link as others do and get the component_id of their group, null where no row of it
+has a doc_id. Repeated rows and ties are members of one class. Texts of any length are read whole. Other columns, whatever
+their names, do not matter here; ``one_of_each`` carries them along. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -36,9 +40,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textnum
-from .shared import components, stored
+from .shared import Scratch, components
 
-#: tokens of more classes than this are indexed in pairs
+#: tokens of more classes than this are indexed in pairs with a token of the difference to a centre
 RARE = 200
 #: tokens by which a survivor looks for a star to join
 STARS = 3
@@ -48,6 +52,8 @@ TURNS = 2
 PARITY = 16
 #: parities are broadcast up to this many classes (35 MB), and shuffled beyond
 BROADCAST_ROWS = 1 << 18
+#: stands for a doc_id that is null
+NO_ID = -(2**63)
 #: most bits of the filter that spares the second reading of texts that did not survive (32 MB)
 FILTER_BITS = 1 << 28
 
@@ -136,7 +142,7 @@ def _survivors(postings: DataFrame, percent: int) -> DataFrame:
     return postings.groupBy("cls", "n").agg(tokens).where(F.size("tokens") >= _least_shared(percent))
 
 
-def _whole_sets(docs: DataFrame, reps: DataFrame, words: int, doc_id: str, text: str) -> DataFrame:
+def _whole_sets(docs: DataFrame, reps: DataFrame, words: int, doc_id: str, text: str, scratch: Scratch) -> DataFrame:
     """cls, items, parity: the whole sets of the representatives ``reps`` (cls, doc_id)."""
     bits = 1 << max(13, min(FILTER_BITS.bit_length() - 1, (16 * reps.count()).bit_length()))
 
@@ -153,7 +159,7 @@ def _whole_sets(docs: DataFrame, reps: DataFrame, words: int, doc_id: str, text:
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            ids = part.column("doc_id").fill_null(0).to_numpy()
+            ids = part.column("doc_id").fill_null(NO_ID).to_numpy()
             at = _slot(ids, bits)
             hit = np.flatnonzero((sent.value[at >> 5] >> (at & 31).astype(np.uint32)) & np.uint32(1))
             texts = part.column("text").cast(pa.binary())
@@ -161,7 +167,7 @@ def _whole_sets(docs: DataFrame, reps: DataFrame, words: int, doc_id: str, text:
             yield pa.RecordBatch.from_arrays([pa.array(ids[hit]), pa.array([_class_of(s) for s in sets], pa.int64()), _lists(sets), _lists([_parity(s) for s in sets])], names=["doc_id", "cls", "items", "parity"])
 
     full = _texts(docs, doc_id, text).mapInArrow(run, "doc_id long, cls long, items array<long>, parity array<long>")
-    return stored(full.join(reps, ["cls", "doc_id"], "left_semi").select("cls", "items", "parity"), "sets")
+    return scratch.put(full.join(reps, ["cls", "doc_id"], "left_semi").select("cls", "items", "parity").dropDuplicates(["cls"]), "sets")
 
 
 def _possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -189,10 +195,10 @@ def _alike(n: str, m: str, percent: int) -> Column:
     return (F.col(n) * 100 >= F.col(m) * percent) & (F.col(m) * 100 >= F.col(n) * percent)
 
 
-def _stars(classes: DataFrame, percent: int) -> DataFrame:
+def _stars(classes: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """(a, b): each class with the smallest class under each of its first tokens."""
-    keys = stored(classes.select("cls", "n", F.explode(F.slice("tokens.token", 1, STARS)).alias("token")), "stars")
-    centers = stored(keys.groupBy("token").agg(F.min(F.struct("cls", "n")).alias("c")).select("token", F.col("c.cls").alias("a"), F.col("c.n").alias("m")), "centers")
+    keys = scratch.put(classes.select("cls", "n", F.explode(F.slice("tokens.token", 1, STARS)).alias("token")), "stars")
+    centers = keys.groupBy("token").agg(F.min(F.struct("cls", "n")).alias("c")).select("token", F.col("c.cls").alias("a"), F.col("c.n").alias("m"))
     return keys.join(centers, "token").where((F.col("a") < F.col("cls")) & _alike("n", "m", percent)).select("a", F.col("cls").alias("b")).distinct()
 
 
@@ -221,84 +227,108 @@ def _counted(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _ordered(sets: DataFrame, percent: int) -> DataFrame:
-    """cls, n, plain, tokens: of classes with a shared token in their plain prefix, how many it has and the shared tokens
-    of the extended prefix, those of few classes first."""
+    """cls, n, tokens: of classes with a shared token in their plain prefix, those tokens (df, token), of few classes first."""
     rows = sets.select(F.explode("items").alias("token"), "cls", F.size("items").cast("long").alias("n"))
     counted = rows.repartition("token").sortWithinPartitions("token").mapInArrow(_counted, "token long, cls long, n long, df long")
     listed = counted.groupBy("cls", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("all"))
-    spare = F.expr(f"n - (n * {percent} + 99) DIV 100")
     alone = F.col("n") - F.size("all")  # tokens of this class only come first
-    out = listed.withColumn("plain", (spare + 1 - alone).cast("int")).withColumn("long", (2 * spare + 1 - alone).cast("int")).where("plain > 0")
-    return out.select("cls", "n", "plain", F.slice("all", 1, F.col("long")).alias("tokens"))
-
-
-def _combinations(classes: DataFrame, percent: int) -> DataFrame:
-    """(k1, k2, cls, n, grp): the keys of a class; k2 repeats k1 for a single token."""
-    parted = classes.select(
-        "cls", "n", "grp", "plain",
-        F.expr(f"transform(filter(tokens, x -> x.df <= {RARE}), x -> x.token)").alias("rare"),
-        F.expr(f"transform(filter(tokens, x -> x.df > {RARE}), x -> x.token)").alias("often"),
-        _least_shared(percent).alias("least"), F.greatest(_least_shared(percent), F.lit(2)).alias("pairwise"),
-    )
-    first = parted.withColumn("m", (F.size("often") - F.col("pairwise") + 2).cast("int"))
-    # without frequent tokens, a link shows in the plain prefixes already
-    single = "transform(IF(size(often) = 0, slice(rare, 1, plain), IF(least <= 1, concat(rare, often), rare)), x -> named_struct('k1', x, 'k2', x))"
-    double = "IF(m >= 2, flatten(transform(sequence(1, IF(m >= 2, m - 1, 1)), i -> transform(slice(often, i + 1, greatest(m - i, 0)), y -> named_struct('k1', often[i - 1], 'k2', y)))), array())"
-    keys = first.select("cls", "n", "grp", F.explode(F.expr(f"concat({single}, {double})")).alias("k"))
-    return keys.select("k.k1", "k.k2", "cls", "n", "grp")
-
-
-def _across(keys: DataFrame, percent: int) -> DataFrame:
+    plain = F.expr(f"n - (n * {percent} + 99) DIV 100 + 1") - alone
+    return listed.withColumn("plain", plain.cast("int")).where("plain > 0").select("cls", "n", F.slice("all", F.lit(1), F.col("plain")).alias("tokens"))
+
+
+def _differences(classes: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """centre, m (its size), cls, n, far (tokens in one of both sets only), near (whether the two link): of every class and each centre of
+    its frequent tokens. A class has few centres, as near copies share the smallest."""
+    often = classes.select("cls", F.explode(F.expr(f"transform(filter(tokens, x -> x.df > {RARE}), x -> x.token)")).alias("token"))
+    centres = often.groupBy("token").agg(F.min("cls").alias("centre"))
+    met = often.join(centres, "token").where("cls <> centre").select("centre", "cls").distinct()
+    one = met.join(sets.select(F.col("cls").alias("centre"), F.col("items").alias("c")), "centre")
+    both = one.join(sets.select("cls", "items"), "cls").withColumn("far", F.concat(F.array_except("items", "c"), F.array_except("c", "items")))
+    sized = both.select("centre", F.size("c").cast("long").alias("m"), "cls", F.size("items").cast("long").alias("n"), "far")
+    shared = (F.col("n") + F.col("m") - F.size("far")) / 2
+    return scratch.put(sized.withColumn("near", shared * 100 >= (F.col("n") + F.col("m") - shared) * percent), "differences")
+
+
+def _combinations(classes: DataFrame, apart: DataFrame, percent: int) -> DataFrame:
+    """(k1, k2, cls, n, near, front): the keys of a class. A rare token is k1 and k2; else they are a centre and a token of
+    the difference to it. Of two classes under a key, one is not near the centre, and the token is in the front of the
+    other's difference, of both if neither is near."""
+    rare = classes.select("cls", "n", F.explode(F.expr(f"transform(filter(tokens, x -> x.df <= {RARE}), x -> x.token)")).alias("k1"))
+    single = rare.select("k1", F.col("k1").alias("k2"), "cls", "n", F.lit(False).alias("near"), F.lit(True).alias("front"))
+    rows = apart.select("centre", "cls", F.explode("far").alias("token"))
+    held = rows.groupBy("centre", "token").agg(F.count("*").alias("df")).where("df > 1")
+    listed = rows.join(held, ["centre", "token"]).groupBy("centre", "cls").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("all"))
+    # more than so many tokens of the difference are shared; times 2 * (100 + percent)
+    least = F.size("far") * (100 + percent) + (F.col("m") - F.col("n")) * (100 - percent)
+    front = F.size("far") - F.floor(least / (2 * (100 + percent)))
+    alone = F.size("far") - F.size("all")
+    placed = listed.join(apart, ["centre", "cls"]).withColumn("first", (front - alone).cast("int"))
+    kept = placed.select("centre", "cls", "n", "near", "first", F.posexplode(F.when(F.col("near"), F.slice("all", F.lit(1), F.greatest("first", F.lit(0)))).otherwise(F.col("all"))).alias("at", "x"))
+    return single.unionByName(kept.select(F.col("centre").alias("k1"), F.col("x.token").alias("k2"), "cls", "n", "near", (F.col("at") < F.col("first")).alias("front")))
+
+
+def _across(keys: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """(a, b): classes of different groups and about equal size that share a key."""
     spread = keys.groupBy("k1", "k2").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo < hi").select("k1", "k2")
-    live = stored(keys.join(spread, ["k1", "k2"], "left_semi"), "keys")
-    other = live.select("k1", "k2", F.col("cls").alias("b"), F.col("n").alias("m"), F.col("grp").alias("grp_b"))
-    met = live.join(other, ["k1", "k2"]).where((F.col("grp") < F.col("grp_b")) & _alike("n", "m", percent))
+    live = scratch.put(keys.join(spread, ["k1", "k2"], "left_semi"), "keys")
+    other = live.select("k1", "k2", F.col("cls").alias("b"), F.col("n").alias("m"), F.col("grp").alias("grp_b"), F.col("near").alias("near_b"), F.col("front").alias("front_b"))
+    met = live.join(other, ["k1", "k2"]).where((F.col("grp") < F.col("grp_b")) & _alike("n", "m", percent) & F.expr("near <> near_b OR (front AND front_b AND NOT near)"))
     return met.select(F.col("cls").alias("a"), "b").distinct()
 
 
 def groups(docs: DataFrame, percent: int = 80, words: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, class_id (smallest doc_id with the same set), component_id (smallest doc_id reachable by links)."""
-    rows = stored(prefixes(docs, percent, words, doc_id, text), "prefixes")
-    by_class = stored(rows.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id")), "classes")
+    scratch = Scratch(docs.sparkSession)
+    found = scratch.put(prefixes(docs, percent, words, doc_id, text), "prefixes")
+    rows = scratch.put(found.select("doc_id", "n", "cls"), "rows")
+    by_class = scratch.put(rows.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id")), "classes")
 
     # 1. extended prefixes, twice
-    postings = rows.select(F.explode("prefix").alias("token"), "cls", "n")
+    postings = found.select(F.explode("prefix").alias("token"), "cls", "n")
     shared = postings.repartition("token").sortWithinPartitions("token", "cls").mapInArrow(_shared_only, "token long, cls long, n long")
-    once = stored(_survivors(shared.withColumn("df", F.lit(0)), percent), "once")
+    once = scratch.put(_survivors(shared.withColumn("df", F.lit(0)), percent), "once")
+    scratch.drop(found)
     again = once.select("cls", "n", F.explode("tokens.token").alias("token"))
-    counted = stored(again.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "df")
-    classes = stored(_survivors(again.join(counted, "token"), percent), "survivors")
-    sets = _whole_sets(docs, stored(by_class.join(classes, "cls", "left_semi").where("doc_id IS NOT NULL"), "reps"), words, doc_id, text)
-
-    # 2. stars
-    links = _verified(_possible(_stars(classes, percent), sets, percent), sets, percent)
-    grouped = components(links)
+    counted = scratch.put(again.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "df")
+    classes = scratch.put(_survivors(again.join(counted, "token"), percent), "survivors")
+    scratch.drop(once, counted)
+    reps = scratch.put(by_class.join(classes, "cls", "left_semi").select("cls", F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id")), "reps")
+    sets = _whole_sets(docs, reps, words, doc_id, text, scratch)
+
+    # 2. stars, and the centres of frequent tokens
+    links = scratch.put(_verified(_possible(_stars(classes, percent, scratch), sets, percent), sets, percent), "links")
+    scratch.drop(classes, reps)
+    ordered = scratch.put(_ordered(sets, percent), "ordered")
+    apart = _differences(ordered, sets, percent, scratch)
+    grouped = components(links.select("a", "b").union(apart.where("near").select("centre", "cls")), scratch)
 
     # 3. combinations, between groups
     named = lambda x: grouped.select(F.col("node").alias(x), F.col("component").alias(f"{x}_grp"))
-    labelled = _ordered(sets, percent).join(named("cls"), "cls", "left").withColumn("grp", F.coalesce("cls_grp", "cls"))
-    pairs = stored(_possible(_across(stored(_combinations(labelled, percent), "all_keys"), percent), sets, percent), "pairs")
+    keys = _combinations(ordered, apart, percent).join(named("cls"), "cls", "left").withColumn("grp", F.coalesce("cls_grp", "cls")).drop("cls_grp")
+    all_keys = scratch.put(keys, "all_keys")
+    pairs = scratch.put(_possible(_across(all_keys, percent, scratch), sets, percent), "pairs")
+    scratch.drop(ordered, apart, all_keys, links)
     for turn in range(TURNS + 1):
-        apart = pairs.join(named("a"), "a", "left").join(named("b"), "b", "left").withColumn("a_grp", F.coalesce("a_grp", "a")).withColumn("b_grp", F.coalesce("b_grp", "b")).where("a_grp <> b_grp")
-        open_pairs = stored(apart, "open")
+        loose = pairs.join(named("a"), "a", "left").join(named("b"), "b", "left").withColumn("a_grp", F.coalesce("a_grp", "a")).withColumn("b_grp", F.coalesce("b_grp", "b")).where("a_grp <> b_grp")
+        open_pairs = scratch.put(loose, "open")
         if turn < TURNS:  # each group's smallest pair, in turn seen from either side
             x = "ab"[turn % 2]
             tried = open_pairs.groupBy(F.col(f"{x}_grp").alias("g")).agg(F.min(F.struct("a", "b", "a_grp", "b_grp")).alias("p")).select("p.*").distinct()
         else:
             tried = open_pairs
-        tried = stored(tried, "tried")
+        tried = scratch.put(tried, "tried")
         if not tried.limit(1).count():
             break
-        far = _verified(tried.select("a", "b"), sets, percent).join(tried, ["a", "b"]).select(F.col("a_grp").alias("a"), F.col("b_grp").alias("b"))
-        merged = components(far)
+        linked = _verified(tried.select("a", "b"), sets, percent).join(tried, ["a", "b"]).select(F.col("a_grp").alias("a"), F.col("b_grp").alias("b"))
+        merged = components(linked, scratch)
         known = grouped.select("node", "component").union(open_pairs.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("a_grp").alias("component")), F.struct(F.col("b").alias("node"), F.col("b_grp").alias("component")))).alias("x")).select("x.*")).distinct()
-        grouped = stored(known.join(merged.select(F.col("node").alias("component"), F.col("component").alias("higher")), "component", "left").select("node", F.coalesce("higher", "component").alias("component")), "grouped")
+        grouped = scratch.put(known.join(merged.select(F.col("node").alias("component"), F.col("component").alias("higher")), "component", "left").select("node", F.coalesce("higher", "component").alias("component")), "grouped")
         pairs = open_pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti").select("a", "b")
 
     second = by_class.join(named("cls"), "cls", "left").withColumn("grp", F.coalesce("cls_grp", "cls")).select("cls", "doc_id", "grp")
     least = second.groupBy("grp").agg(F.min("doc_id").alias("component_id"))
-    labels = stored(second.join(least, "grp").select("cls", F.col("doc_id").alias("class_id"), "component_id"), "labels")
+    labels = scratch.put(second.join(least, "grp").select("cls", F.col("doc_id").alias("class_id"), "component_id"), "labels")
+    scratch.drop(sets, by_class)
     out = rows.select("doc_id", "n", F.when(F.col("n") > 0, F.col("cls")).alias("cls")).join(labels, "cls", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
