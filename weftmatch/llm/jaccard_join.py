@@ -321,7 +321,8 @@ def groups(docs: DataFrame, percent: int = 80, words: int = 5, doc_id: str = "do
             break
         linked = _verified(tried.select("a", "b"), sets, percent).join(tried, ["a", "b"]).select(F.col("a_grp").alias("a"), F.col("b_grp").alias("b"))
         merged = components(linked, scratch)
-        known = grouped.select("node", "component").union(open_pairs.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("a_grp").alias("component")), F.struct(F.col("b").alias("node"), F.col("b_grp").alias("component")))).alias("x")).select("x.*")).distinct()
+        ends = open_pairs.select(F.col("a").alias("node"), F.col("a_grp").alias("component")).distinct().union(open_pairs.select("b", "b_grp").distinct())
+        known = grouped.select("node", "component").union(ends).distinct()
         grouped = scratch.put(known.join(merged.select(F.col("node").alias("component"), F.col("component").alias("higher")), "component", "left").select("node", F.coalesce("higher", "component").alias("component")), "grouped")
         pairs = open_pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti").select("a", "b")
 
