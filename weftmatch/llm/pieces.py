@@ -12,12 +12,14 @@ a Zipf law, ``-log((r + 1) * H)`` with H the harmonic sum over the vocabulary, b
 No piece spans a word start, a line break or most places between letters and punctuation, so the lattice falls apart
 at such cuts. Equal parts are solved once per worker (``CACHE``), with their best and second best score. Of a whole
 text, only the N - 1 parts with the smallest difference between the two can differ among its N best segmentations;
-A* runs over the joined lattice of these, the other parts standing at their best. Equal scores may come in any order,
-but the first segmentation is the one of ``ids``.
+A* runs over the joined lattice of these, the other parts standing at their best. The first segmentation is the one of
+``ids``. Ties: where scores are equal, Viterbi keeps the piece that begins first in the text, the agenda takes what was
+pushed first, and of parts with equal differences numpy's partition order decides; all of it is a function of the text and
+the model alone, so equal texts get equal results on every executor.
 
 Defined results: a null or empty text has no pieces, score 0 and the one empty segmentation. Decoding gives back the
-text. Equal rows are encoded each for itself; an empty table gives an empty table; columns named in ``keep`` are
-carried along whatever their names.
+text, a ``▁`` of its own included. Texts of any length are encoded whole. Equal rows are encoded each for itself; an empty
+table gives an empty table; columns named in ``keep`` are carried along whatever their names.
 """
 
 from __future__ import annotations
@@ -39,6 +41,8 @@ from . import textnum
 
 CACHE = 400_000
 _NONE = -math.inf
+#: stands for a ``▁`` of the text itself, which is written in bytes; no text holds half a surrogate pair
+_MARK = "\udcff"
 
 _models: dict[str, "Model"] = {}
 
@@ -91,7 +95,7 @@ class Model:
         begins, n = self.begins, len(part)
         for i in range(n):
             if begins.get(part[i], _NONE) in (None, _NONE):
-                yield i, i + 1, self.byte_score * len(part[i].encode())
+                yield i, i + 1, self.byte_score * len(part[i].replace(_MARK, "▁").encode())
             for j in range(i + 1, n + 1):
                 s = begins.get(part[i:j], _NONE)
                 if s is None:
@@ -102,7 +106,7 @@ class Model:
 
     def ids_of(self, piece: str) -> tuple[int, ...]:
         i = self.id.get(piece)
-        return (i,) if i is not None else tuple(self.byte_id[b] for b in piece.encode())
+        return (i,) if i is not None else tuple(self.byte_id[b] for b in piece.replace(_MARK, "▁").encode())
 
     def solve(self, part: str) -> tuple[tuple[int, ...], float, float]:
         """Forward Viterbi: ids and score of the best segmentation, and the second best score."""
@@ -160,6 +164,8 @@ class Model:
         """Ids of the best segmentation; the n best scores; for each of these, ids of the parts that differ; ids of all parts."""
         if not text:
             return np.zeros(0, np.int32), [0.0], [{}], ()
+        if "▁" in text:
+            text = text.replace("▁", _MARK)
         parts = self.parts("▁" + text.replace(" ", "▁"))
         known, extra = self.known, None
         if new := set(parts).difference(known):
@@ -198,6 +204,9 @@ class Model:
             out.append(np.concatenate([*pieces, flat[at:]]))
         return out
 
+    def bytes_from(self, ids: tuple[int, ...]) -> bytes:
+        return b"".join(map(self.bytes_of.__getitem__, ids))
+
     def decode(self, ids: np.ndarray) -> str:
         """The text of some ids."""
         if not len(ids):
@@ -237,11 +246,12 @@ def encode(docs: DataFrame, path: str, n_best: int = 4, keep: Iterable[str] = ("
                 for raw in texts[a:b]:
                     t = raw.decode()
                     ids, scores, ways, of_parts = own.encode(t, n_best)
-                    each = own.segmentations(ids, ways, of_parts)
+                    each = own.segmentations(ids, ways, of_parts) if with_ids else []
                     n_pieces.append(len(ids))
                     crcs.append(zlib.crc32(ids.astype("<u4").tobytes()))
                     all_scores.append(scores)
-                    decoded.append(all(own.decode(x) == t for x in each))
+                    # the best is decoded whole; of the others, what differs from it
+                    decoded.append(own.decode(ids) == t and all(own.bytes_from(of_parts[k]) == own.bytes_from(way[k]) for way in ways for k in way if way[k] is not of_parts[k]))
                     if with_ids:
                         firsts.append(ids)
                         ways_of.extend(each)
