@@ -15,8 +15,9 @@ normalised score, of the sum over its significant segments and of n, fitted on t
 
 Words and curve are fitted on at most about ``PER_LABEL`` texts of each label (a documented bound).
 
-Defined results: null or empty texts score as texts without any segment do. Without labels, or with one kind only,
-every text scores 0. Repeated rows get equal scores; an empty table gives an empty table; columns named in ``keep`` are
+Defined results: null or empty texts score as texts without any segment do. Texts of any length are scanned whole. Without
+labels, or with one kind only, every text scores 0. Of repeated labels of one document the largest counts, once. Ties in
+score and ties of words at the ``VOCABULARY`` bound go by the word's hash. Repeated rows get equal scores; an empty table gives an empty table; columns named in ``keep`` are
 carried along whatever their names.
 """
 
@@ -45,24 +46,27 @@ E_VALUE = 0.05
 
 
 def maximal_segments(scores: list[float]) -> list[tuple[int, int, float]]:
-    """(first, end, score) of all maximal scoring segments, in order (Ruzzo and Tompa's linear scan)."""
-    open_: list[tuple[int, int, float, float]] = []  # first, end, sum before, sum at the end
+    """(first, end, score) of all maximal scoring segments, in order (Ruzzo and Tompa's scan).
+
+    Each open segment keeps the place of the nearest one before it with a smaller sum in front, so a search follows these
+    links and never walks over the segments between them; a link is followed once before what it skips is merged or shut off."""
+    open_: list[tuple[int, int, float, float, int]] = []  # first, end, sum before, sum at the end, nearest with a smaller sum before
     total = 0.0
     for i, s in enumerate(scores):
         before, total = total, total + s
         if s <= 0:
             continue
-        first, left = i, before
+        first, left, j = i, before, len(open_) - 1
         while True:
-            j = len(open_) - 1
             while j >= 0 and open_[j][2] >= left:
-                j -= 1
+                j = open_[j][4]
             if j < 0 or open_[j][3] >= total:
-                open_.append((first, i + 1, left, total))
+                open_.append((first, i + 1, left, total, j))
                 break
-            first, left = open_[j][0], open_[j][2]
+            first, left, back = open_[j][0], open_[j][2], open_[j][4]
             del open_[j:]
-    return [(a, b, r - lo) for a, b, lo, r in open_]
+            j = back
+    return [(a, b, r - lo) for a, b, lo, r, _ in open_]
 
 
 def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
@@ -135,7 +139,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
 
     Which labelled documents are taken is decided on the labels alone; their ids, about 2 * per_label rows, are
     broadcast, so that no other text moves."""
-    marks = labels.select(F.col(doc_id).alias("id_"), F.col(label).cast("int").alias("y")).where("y IN (0, 1) AND id_ IS NOT NULL")
+    marks = labels.select(F.col(doc_id).alias("id_"), F.col(label).cast("int").alias("y")).where("y IN (0, 1) AND id_ IS NOT NULL").groupBy("id_").agg(F.max("y").alias("y"))
     marks = marks.join(docs.select(F.col(doc_id).alias("id_")).distinct(), "id_", "left_semi")
     sizes = {r["y"]: r["count"] for r in marks.groupBy("y").count().collect()}
     if len(sizes) < 2:
