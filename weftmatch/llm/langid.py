@@ -1,6 +1,6 @@
 """Language identification of mixed texts.
 
-A model holds, for each language, probabilities of hashed 3-grams of bytes (letters in lower case, everything else a
+A model holds, for each language, probabilities of hashed 3-grams of bytes (A-Z in lower case, all other ASCII but a-z a
 blank). A text is a mixture: expectation maximisation finds the proportions of a set of languages. The set starts with
 the likeliest language and grows by the one that gains most, as long as the gain in log likelihood, divided by the
 three n-grams that each byte takes part in, exceeds ``PENALTY`` times the logarithm of the number of n-grams.
@@ -9,7 +9,7 @@ The model is fitted on about ``PER_LABEL`` documents of each label (a documented
 the driver are at most BINS for each label.
 
 Defined results: null text, empty text and text without letters get ``und`` with score 0. With nothing to learn from,
-every text gets ``und``. Equal likelihoods go to the label that comes first in order. Repeated rows get equal results;
+every text gets ``und``. Texts of any length are read whole. Equal likelihoods go to the label that comes first in order. Repeated rows get equal results;
 an empty table gives an empty table; columns named in ``keep`` are carried along whatever their names.
 """
 
@@ -32,7 +32,7 @@ SMOOTHING = 0.5
 PENALTY = 2.0
 UNKNOWN = "und"
 
-_LETTER = re.compile(r"[^\W\d_]")
+_WORD = re.compile(r"[^\W\d_]+")
 _FOLD = np.full(256, 32, np.uint8)
 _FOLD[97:123] = np.arange(97, 123)
 _FOLD[65:91] = np.arange(97, 123)
@@ -50,6 +50,11 @@ def _grams(data: bytes) -> np.ndarray:
     return out
 
 
+def _has_letter(text: str) -> bool:
+    """Whether a character of the Unicode category L is in a text; signs as ½ or Ⅳ are none."""
+    return any(c.isalpha() for m in _WORD.finditer(text) for c in m[0])
+
+
 class Model:
     def __init__(self, labels: list[str], counts: np.ndarray):
         self.labels = labels
@@ -85,7 +90,7 @@ class Model:
         return {self.labels[i]: float(w) for i, w in zip(chosen, weights, strict=True)}
 
     def predict(self, text: str | None) -> tuple[str, float, dict[str, float]]:
-        if not text or not _LETTER.search(text):
+        if not text or not _has_letter(text):
             return UNKNOWN, 0.0, {}
         found = self.mixture(_grams(text.encode()))
         if not found:
@@ -96,7 +101,7 @@ class Model:
 
 def fit(labelled: DataFrame, text: str = "text", label: str = "lang", per_label: int = PER_LABEL) -> Model:
     """A model from the rows with a label and a text."""
-    rows = labelled.select(F.col(text).cast("string").alias("text"), F.col(label).cast("string").alias("label"), F.xxhash64(*labelled.columns).alias("h")).where("text IS NOT NULL AND label IS NOT NULL")
+    rows = labelled.select(F.col(text).cast("string").alias("text"), F.col(label).cast("string").alias("label"), F.xxhash64(F.col(text).cast("string")).alias("h")).where("text IS NOT NULL AND label IS NOT NULL")
     sizes = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, per_label / n))]) if sizes else None
     if share is None:
