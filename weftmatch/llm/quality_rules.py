@@ -6,7 +6,8 @@ arithmetic over the ledger and never reads a text again.
 
 Defined results: a null or empty text has no words, so all its measurements are 0 and ``few_words`` fails.
 Texts of any length are measured whole. Repeated rows are measured each for itself. An empty table gives an
-empty ledger. Columns other than the text are carried along untouched.
+empty ledger. ``ledger`` carries the columns of ``keep`` along, which may not have the names it adds;
+``filter_documents`` carries all columns along, whatever their names.
 """
 
 from __future__ import annotations
@@ -63,9 +64,13 @@ POLICIES = {
 }
 
 
+#: code points with a place in the tables of letters
+_POINTS = 0x32400
+
+
 def _upper_lower_letters() -> tuple[np.ndarray, np.ndarray]:
-    """Code points below 2**16 that are upper-case letters, and that are letters."""
-    chars = [chr(i) for i in range(1 << 16)]
+    """Code points that are upper-case letters, and that are letters; those beyond 0x32000 are held in no script yet."""
+    chars = [chr(i) for i in range(_POINTS)]
     return np.array([c.isupper() for c in chars]), np.array([c.isalpha() for c in chars])
 
 
@@ -78,16 +83,20 @@ def _case(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Upper-case letters and letters of each text."""
     upper, alpha = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
     for i, t in enumerate(texts):
-        for at in range(0, len(t), textnum.CHUNK):
-            piece = t[at : at + textnum.CHUNK]
+        at = 0
+        while at < len(t):
+            end = min(at + textnum.CHUNK, len(t))
+            while end < len(t) and t[end] & 0xC0 == 0x80:  # whole characters
+                end += 1
+            piece, at = t[at:end], end
             if piece.isascii():
                 b = np.frombuffer(piece, np.uint8)
                 up = int(np.count_nonzero((b >= 65) & (b <= 90)))
                 upper[i] += up
                 alpha[i] += up + int(np.count_nonzero((b >= 97) & (b <= 122)))
             else:
-                points = np.frombuffer(piece.decode("utf-8", "ignore").encode("utf-32-le"), np.uint32)
-                points = points[points < 1 << 16]
+                points = np.frombuffer(piece.decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
+                points = points[points < _POINTS]
                 upper[i] += int(np.count_nonzero(_UPPER[points]))
                 alpha[i] += int(np.count_nonzero(_ALPHA[points]))
     return upper, alpha
@@ -189,5 +198,7 @@ def ablations(led: DataFrame, policy: str | Iterable[str], rules: tuple[Rule, ..
 
 def filter_documents(docs: DataFrame, policy: str = "v1", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that the policy keeps, with their columns as they were."""
-    led = ledger(docs, docs.columns, text)
-    return led.where(passes(policy)).select(*docs.columns)
+    names = docs.columns
+    own = [f"own_{i}" for i in range(len(names))]
+    led = ledger(docs.toDF(*own), own, own[names.index(text)])
+    return led.where(passes(policy)).select(*[F.col(o).alias(c) for o, c in zip(own, names, strict=True)])
