@@ -14,7 +14,9 @@ of an item, or its last third where it is one sentence.
 
 Words are compared without case (A-Z) and ASCII punctuation.
 
-Defined results: null or empty documents and items without words match nothing. Repeated rows are reported each for
+Defined results: null or empty documents and items without words match nothing. Texts of any length are searched whole.
+Rows of one item_id with different texts are items of their own, reported under that id once, by the text that is held
+best (of ties the first by text). Repeated rows are reported each for
 itself; an item that a document holds twice is reported once. Empty tables give an empty table. The index of at most
 ``BLOCK_BYTES`` of item text is sent to the executors at a time; larger benchmarks are processed in blocks of items.
 """
@@ -73,7 +75,8 @@ class Index:
     weights: np.ndarray
     top: np.ndarray
     item_of: list[int]
-    items: dict[int, tuple[int, np.ndarray, np.ndarray]]
+    #: of each row of the items (two may have one item_id): item_id, words of a shingle, shingles of the question, words of the answer
+    items: dict[int, tuple[int, int, np.ndarray, np.ndarray]]
     block_top: list[np.ndarray] = field(default_factory=list)
     #: largest weight of each term in each of at most RANGES ranges of units; the last row is for words without a term
     range_top: np.ndarray | None = None
@@ -87,18 +90,18 @@ class Index:
 def build_index(items: list[tuple[int, str]], n_units: int | None = None, df: dict[int, int] | None = None, mean: float | None = None) -> Index:
     """The index of some items. For a benchmark in blocks, ``n_units``, ``df`` (by term hash) and ``mean`` (words a unit) are those of the whole."""
     units, item_of, known = [], [], {}
-    for item, text in items:
+    for row, (item, text) in enumerate(items):
         words = _words(text or "")
         if not len(words):
             continue
         question, answer = question_and_answer(text)
         k = min(GRAM, len(words))
         # a question of fewer words has no shingle of its own: the whole item stands for it
-        known[item] = (k, _grams(question if len(question) >= k else words, k), np.unique(answer))
+        known[row] = (item, k, _grams(question if len(question) >= k else words, k), np.unique(answer))
         pieces = max(1, -(-len(words) // UNIT))
         for piece in np.array_split(words, pieces):
             units.append(piece)
-            item_of.append(item)
+            item_of.append(row)
     flat = np.concatenate(units) if units else np.zeros(0, np.uint64)
     owner = np.repeat(np.arange(len(units)), [len(u) for u in units]).astype(np.int64)
     terms, code = np.unique(flat, return_inverse=True)
@@ -209,20 +212,23 @@ def search(index: Index, text: bytes, threshold: float) -> dict[int, tuple[float
 
 
 def verify(index: Index, text: bytes, found: dict[int, tuple[float, list[int]]]) -> list[tuple[int, float, float, float, int]]:
-    """(item, score, question overlap, answer overlap, first word) of retrieved items."""
+    """(item_id, score, question overlap, answer overlap, first word) of retrieved items."""
     if not found:
         return []
     words = _words(text)
     grams: dict[int, np.ndarray] = {}
-    out = []
-    for item, (score, places) in sorted(found.items()):
-        k, question, answer = index.items[item]
+    out: dict[int, tuple[int, float, float, float, int]] = {}
+    for row, (score, places) in sorted(found.items()):
+        item, k, question, answer = index.items[row]
         if k not in grams:
             grams[k] = _grams(words, k)
         # the passages and a step on either side, as an item may reach beyond what retrieved it
         near = np.concatenate([words[max(0, (p - 1) * STEP) : (p + 3) * STEP] for p in places])
-        out.append((item, score, float(np.isin(question, grams[k]).mean()), float(np.isin(answer, near).mean()), min(places) * STEP))
-    return out
+        hit = (item, score, float(np.isin(question, grams[k]).mean()), float(np.isin(answer, near).mean()), min(places) * STEP)
+        # of rows with one item_id the one that is held best
+        if item not in out or (min(hit[2:4]), score) > (min(out[item][2:4]), out[item][1]):
+            out[item] = hit
+    return sorted(out.values())
 
 
 def leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.5, share: float = 0.8, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -239,7 +245,7 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.5, share: floa
     out = None
     for block in range(n_blocks):
         mine = tests.where(F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)) == block)
-        rows = [(r.item_id, r.text) for r in mine.orderBy("item_id").collect()]
+        rows = [(r.item_id, r.text) for r in mine.orderBy("item_id", "text").collect()]
         sent = spark.sparkContext.broadcast((rows, whole))
         part = plain.mapInArrow(_matcher(sent, threshold), f"doc_id {id_type.simpleString()}, item_id long, score double, question_overlap double, answer_overlap double, first_word long")
         out = part if out is None else out.union(part)
