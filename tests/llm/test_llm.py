@@ -4,6 +4,7 @@ import itertools
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 from pathlib import Path
@@ -63,6 +64,7 @@ def test_language_of_odd_texts(spark, docs, nothing):
     out = langid.identify(docs, model, ["doc_id", "text_"]).toPandas()
     got = dict(zip(out["doc_id"], out["lang_pred"], strict=True))
     assert [got[i] for i in (1, 2, 3, 11, 4)] == ["und"] * 4 + ["en"]
+    assert model.predict("½ ² Ⅳ ① _7")[0] == "und"
     assert langid.identify(nothing, langid.fit(nothing.select("text", "lang")), ["doc_id"]).count() == 0
 
 
@@ -110,6 +112,16 @@ def test_ablations(spark):
         assert (r.n_failed, r.n_failed_alone, r.n_kept_without) == (sum(bool(b & bit) for b in bits), sum(b == bit for b in bits), sum(not b & ~bit for b in bits))
 
 
+def test_quality_rules_of_other_planes_long_texts_and_clashing_names(spark):
+    beyond = " ".join("".join(chr(0x10428 + (i + k) % 40) for i in range(5)) + str(k) for k in range(60))
+    long = "ж" * 7 + (" слово" * 200_000)
+    docs = spark.createDataFrame([(1, beyond, 5, 0), (2, long, 5, 0)], "doc_id long, text string, n_words long, failed_bits long")
+    led = {r.doc_id: r for r in quality_rules.ledger(docs, ["doc_id"]).collect()}
+    assert led[1].n_alpha == 300 and led[2].n_alpha == 7 + 5 * 200_000 == led[2].word_chars
+    kept = quality_rules.filter_documents(docs)
+    assert kept.columns == docs.columns and [r.n_words for r in kept.where("doc_id = 1").collect()] == [5]
+
+
 # 3
 
 
@@ -246,6 +258,13 @@ def test_items_in_documents_are_found(spark, docs):
     assert decontaminate.leaks(docs.limit(0), items).count() == 0 and decontaminate.leaks(docs, items.limit(0)).count() == 0
 
 
+def test_items_that_share_an_id(spark):
+    a, b = _prose(21, 60) + ". " + _prose(22, 9), _prose(23, 60) + ". " + _prose(24, 9)
+    items = spark.createDataFrame([(1, a), (1, b)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, a), (2, b), (3, _prose(25, 90))], "doc_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, items).collect()} == {(1, 1), (2, 1)}
+
+
 def test_blocks_of_items_give_the_same(spark, monkeypatch):
     items, docs = spark.read.parquet(f"{SF}/benchmark.parquet"), spark.read.parquet(f"{SF}/documents.parquet")
     whole = {(r.doc_id, r.item_id, round(r.score, 9)) for r in decontaminate.leaks(docs, items).collect()}
@@ -379,6 +398,12 @@ def test_segments_by_brute_force():
         assert [(a, b) for a, b, _ in toxicity.segments(np.array(scores))] == maximal(0, len(scores))
 
 
+def test_segments_of_falling_sums_in_linear_time():
+    began = time.process_time()
+    assert len(toxicity.maximal_segments([1.0, -2.0] * 100_000)) == 100_000
+    assert time.process_time() - began < 5
+
+
 def test_toxicity_of_held_out_texts(spark, docs, nothing):
     got = queries.op8_toxicity(spark, LARGER).toPandas()
     assert len(got) == 1000 and got["score"].between(0, 1).all() and (got["predicted"] == (got["score"] >= 0.7)).all()
@@ -405,6 +430,7 @@ def test_n_best_by_brute_force():
             ways[j] = [(s + t, ids + own.ids_of(text[i:j])) for i, k, t in own.edges(text) if k == j for s, ids in ways[i]]
         return sorted(ways[len(text)], reverse=True)
 
+    assert own.decode(own.encode("a▁b c▁", 3)[0]) == "a▁b c▁"
     for text in ("a", "the cat", "naïve 日本", "aaaa b", "x1,y", "\n\n ok"):
         joined = "▁" + text.replace(" ", "▁")
         want = every(joined)[:4]
