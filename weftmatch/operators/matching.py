@@ -27,15 +27,15 @@ def exact_pairs(index: DataFrame) -> DataFrame:
     return pairs.where("doc_id <> source_doc").select(*PAIR)
 
 
-def unmatched(index: DataFrame, exact: DataFrame) -> DataFrame:
-    """Scored sentences without an exact match."""
-    return submissions(index).join(exact.select("doc_id", "idx").distinct(), ["doc_id", "idx"], "left_anti")
+def unmatched(index: DataFrame) -> DataFrame:
+    """Scored sentences without an exact match: whose hash no sample has, as no document is a submission and a sample."""
+    return submissions(index).join(index.where("is_sample").select("sentence_hash").distinct(), "sentence_hash", "left_anti")
 
 
-def candidate_pairs(index: DataFrame, exact: DataFrame) -> DataFrame:
+def candidate_pairs(index: DataFrame) -> DataFrame:
     """PAIR, shared: sentences without exact match and with two or more fingerprints, and sample sentences with one of
     them; shared counts the sample's fingerprints, repeated ones included, that the submission has."""
-    left = unmatched(index, exact).where(F.size("fingerprints") >= 2).select("doc_id", "idx", F.size("fingerprints").alias("n"), F.explode(F.array_distinct("fingerprints")).alias("fp"))
+    left = unmatched(index).where(F.size("fingerprints") >= 2).select("doc_id", "idx", F.size("fingerprints").alias("n"), F.explode(F.array_distinct("fingerprints")).alias("fp"))
     right = _sample(index, "fingerprints").select("source_doc", "source_idx", F.explode("fp_b").alias("fp"))
     return left.join(right, "fp").where("doc_id <> source_doc").groupBy(*PAIR, "n").agg(F.count("*").alias("shared"))
 
@@ -71,7 +71,7 @@ def sentence_matches(index: DataFrame, weights: DataFrame, config: EngineConfig
     """PAIR, similarity, cosine, winnowing, jaccard of all matches; an exact match has 1 in all four."""
     config = config or EngineConfig()
     exact = exact_pairs(index)
-    near = scored(compared(index, overlapping(candidate_pairs(index, exact)), weights), config)
+    near = scored(compared(index, overlapping(candidate_pairs(index)), weights), config)
     ones = [F.lit(1.0).alias(c) for c in ("similarity", "cosine", "winnowing", "jaccard")]
     return exact.select(*PAIR, *ones).unionByName(near.select(*PAIR, "similarity", "cosine", "winnowing", "jaccard"))
 

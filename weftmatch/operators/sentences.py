@@ -49,7 +49,9 @@ def vocab_idf(index: DataFrame) -> DataFrame:
 def term_weights(index: DataFrame, idf: DataFrame) -> DataFrame:
     """doc_id, idx, term, weight (max-normalised frequency times idf, where above 0) of every sentence."""
     terms = index.select("doc_id", "idx", tx.tfidf_tokens(F.col("clean_content")).alias("t")).where(F.size("t") > 0)
-    counted = tx.let(F.col("t"), lambda t: F.transform(F.array_distinct(t), lambda w: F.struct(w.alias("term"), F.size(F.filter(t, lambda x: x == w)).alias("n"))))
+    # runs of the sorted tokens: where each begins, up to where the next does
+    runs = lambda t: tx.let(F.filter(F.sequence(F.lit(1), F.size(t)), lambda i: (i == 1) | (F.get(t, i - 1) != F.get(t, i - 2))), lambda s: F.transform(s, lambda p, k: F.struct(F.get(t, p - 1).alias("term"), (F.coalesce(F.get(s, k + 1), F.size(t) + 1) - p).alias("n"))))
+    counted = tx.let(F.array_sort(F.col("t")), runs)
     shares = tx.let(counted, lambda c: tx.let(F.array_max(F.transform(c, lambda x: x["n"])), lambda most: F.transform(c, lambda x: F.struct(x["term"].alias("term"), (x["n"] / most).alias("tf")))))
     flat = terms.select("doc_id", "idx", F.explode(shares).alias("c")).select("doc_id", "idx", "c.term", "c.tf")
     return flat.join(idf.where("idf > 0"), "term").select("doc_id", "idx", "term", (F.col("tf") * F.col("idf")).alias("weight"))

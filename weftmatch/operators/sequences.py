@@ -46,7 +46,9 @@ def passages(matches: DataFrame) -> DataFrame:
 
 def document_passages(found: DataFrame) -> DataFrame:
     """doc_id, n_passages: passages of all sources that overlap none longer."""
-    taken = greedy(found, ["doc_id"], [-F.col("n"), F.col("t_from"), F.col("source_doc")], ["t_from", "t_to", "n"])
+    # equal spans shut each other out, so one of each is enough: no array grows with the number of sources
+    spans = found.groupBy("doc_id", "t_from", "t_to").agg(F.max("n").alias("n"), F.min("source_doc").alias("source_doc"))
+    taken = greedy(spans, ["doc_id"], [-F.col("n"), F.col("t_from"), F.col("source_doc")], ["t_from", "t_to", "n"])
     return taken.groupBy("doc_id").agg(F.count("*").alias("n_passages"))
 
 

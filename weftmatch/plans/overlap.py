@@ -28,24 +28,24 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The feature index, written once a session: it costs far more than the joins over it."""
-    return materialised(spark, "sentence_index", sf_dir, lambda: st.sentence_index(documents(spark, sf_dir), CONFIG))
+    return materialised(spark, "sentence_index", f"{sf_dir}/documents.parquet", lambda: st.sentence_index(documents(spark, sf_dir), CONFIG), repr(CONFIG))
 
 
 def _weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = _index(spark, sf_dir)
-    return materialised(spark, "term_weights", sf_dir, lambda: st.term_weights(index, st.vocab_idf(index)))
+    return materialised(spark, "term_weights", f"{sf_dir}/documents.parquet", lambda: st.term_weights(index, st.vocab_idf(index)), repr(CONFIG))
 
 
 def _matches(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     index = _index(spark, sf_dir)
-    return index, materialised(spark, "sentence_match", sf_dir, lambda: m.sentence_matches(index, _weights(spark, sf_dir), CONFIG))
+    return index, materialised(spark, "sentence_match", f"{sf_dir}/documents.parquet", lambda: m.sentence_matches(index, _weights(spark, sf_dir), CONFIG), repr(CONFIG))
 
 
 def _spans(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     index, found = _matches(spark, sf_dir)
     found = m.with_texts(index, found)
-    passages = materialised(spark, "passage", sf_dir, lambda: sq.passages(found))
-    return found, passages, materialised(spark, "patchwork", sf_dir, lambda: sq.patchworks(found, sq.covered(passages)))
+    passages = materialised(spark, "passage", f"{sf_dir}/documents.parquet", lambda: sq.passages(found), repr(CONFIG))
+    return found, passages, materialised(spark, "patchwork", f"{sf_dir}/documents.parquet", lambda: sq.patchworks(found, sq.covered(passages)), repr(CONFIG))
 
 
 def sentences(spark, d):
@@ -106,17 +106,17 @@ def exact_match_pairs(spark, d):
 
 def candidate_pairs(spark, d):
     index = _index(spark, d)
-    return m.candidate_pairs(index, m.exact_pairs(index)).select(*m.PAIR, "n", "shared")
+    return m.candidate_pairs(index).select(*m.PAIR, "n", "shared")
 
 
 def candidate_min_overlap(spark, d):
     index = _index(spark, d)
-    return m.overlapping(m.candidate_pairs(index, m.exact_pairs(index))).select(*m.PAIR)
+    return m.overlapping(m.candidate_pairs(index)).select(*m.PAIR)
 
 
 def _compared(spark, d):
     index = _index(spark, d)
-    pairs = m.overlapping(m.candidate_pairs(index, m.exact_pairs(index)))
+    pairs = m.overlapping(m.candidate_pairs(index))
     return m.compared(index, pairs, _weights(spark, d))
 
 
@@ -190,22 +190,24 @@ def spans_by_source(spark, d):
 
 def unmatched_sentences(spark, d):
     index = _index(spark, d)
-    return m.unmatched(index, m.exact_pairs(index)).select("doc_id", "idx", "content")
+    return m.unmatched(index).select("doc_id", "idx", "content")
 
 
 def source_view(spark, d):
     """For each submission and source: the matched source sentences, with the first submission sentence of each."""
-    exact = m.exact_pairs(_index(spark, d))
-    return exact.groupBy("doc_id", "source_doc", "source_idx").agg(F.min("idx").alias("idx"))
+    found = _matches(spark, d)[1]
+    return found.groupBy("doc_id", "source_doc", "source_idx").agg(F.min("idx").alias("idx"))
 
 
 def containment_audit(spark, d):
     """For each document, benchmark items that its clean sentences, put together, hold as a whole."""
     items = spark.read.parquet(f"{d}/benchmark.parquet").select("item_id", tx.clean_text(F.col("text")).alias("key")).where("key <> ''")
-    # the first five words of an item are looked up as an equi-join before the substring test
+    # the first five words of an item, or all of a shorter one, are looked up as an equi-join before the substring test
     first = items.withColumn("gram", F.array_join(F.slice(F.split("key", " "), 1, 5), " "))
+    sizes = [r[0] for r in first.select(F.size(F.split("gram", " "))).distinct().collect()]  # five numbers at most
     docs = documents(spark, d).select("doc_id", tx.clean_text(F.col("text")).alias("body"))
-    grams = docs.select("doc_id", F.explode(F.array_distinct(tx.kgrams(F.split("body", " "), 5))).alias("gram"))
+    of_sizes = F.concat(*[tx.kgrams(F.split("body", " "), k) for k in sizes]) if sizes else F.array().cast("array<string>")
+    grams = docs.select("doc_id", F.explode(F.array_distinct(of_sizes)).alias("gram"))
     hits = grams.join(first, "gram").join(docs, "doc_id").where(F.contains(F.concat(F.lit(" "), "body", F.lit(" ")), F.concat(F.lit(" "), "key", F.lit(" "))))
     return hits.select("doc_id", "item_id").distinct()
 
@@ -245,7 +247,7 @@ cut AS (SELECT doc_id, is_sample, line_no, string_split(regexp_replace(trim(rege
 glued AS (SELECT doc_id, is_sample, line_no, list_filter(list_transform(string_split(array_to_string(list_transform(pieces, lambda x: x || CASE WHEN {_goes_on("x")} THEN ' ' ELSE chr(1) END), ''), chr(1)), lambda x: trim(x)), lambda x: x <> '' AND {_eligible("x")}) AS own FROM cut),
 filled AS (SELECT doc_id, is_sample, line_no, own, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS para_no FROM glued WHERE len(own) > 0),
 flat AS (SELECT doc_id, is_sample, para_no, unnest(own) AS content, generate_subscripts(own, 1) AS k FROM filled),
-sent AS (SELECT doc_id, is_sample, 'DOAN_' || lpad(CAST(para_no AS VARCHAR), 3, '0') AS paragraph_id, content, {_CLEAN.format(x="content")} AS clean_content, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY para_no, k) AS INTEGER) AS idx FROM flat)"""
+sent AS (SELECT doc_id, is_sample, 'DOAN_' || lpad(CAST(para_no AS VARCHAR), greatest(3, CAST(length(CAST(para_no AS VARCHAR)) AS INT)), '0') AS paragraph_id, content, {_CLEAN.format(x="content")} AS clean_content, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY para_no, k) AS INTEGER) AS idx FROM flat)"""
 
 _CONTENT = r"list_filter(string_split_regex(regexp_replace(lower({x}), '[^\p{{L}}\p{{N}}\s]', ' ', 'g'), '\s+'), lambda t: length(t) > 1 AND NOT regexp_matches(t, '^[0-9]+$'))"
 _TFIDF = r"list_filter(string_split_regex(regexp_replace(lower({x}), '[^\p{{L}}\p{{N}}\s_]', '', 'g'), '\s+'), lambda t: t <> '' AND NOT regexp_matches(t, '^[0-9]+$'))"
@@ -400,7 +402,7 @@ LEFT JOIN (SELECT doc_id, count(DISTINCT source_doc) AS n FROM hit GROUP BY doc_
 FROM (SELECT doc_id, source_doc, count(*) AS n FROM pass GROUP BY ALL) a FULL JOIN (SELECT p.doc_id, source_doc, count(*) AS n FROM patch p JOIN pdet d USING (doc_id, island) GROUP BY ALL) b ON a.doc_id = b.doc_id AND a.source_doc = b.source_doc""",
     ),
     "unmatched_sentences": _with(_INDEX + _EXACT, "SELECT doc_id, idx, content FROM open_t"),
-    "source_view": _with(_INDEX + _EXACT, "SELECT doc_id, source_doc, source_idx, min(idx) AS idx FROM exact GROUP BY ALL"),
+    "source_view": _with(_INDEX + _MATCH, "SELECT doc_id, source_doc, source_idx, min(idx) AS idx FROM hit GROUP BY ALL"),
     "containment_audit": f"SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(' ' || {_CLEAN.format(x='d.text')} || ' ', ' ' || {_CLEAN.format(x='b.text')} || ' ') WHERE {_CLEAN.format(x='b.text')} <> ''",
     "incremental_idf": _with(
         _SENT + _IDF,

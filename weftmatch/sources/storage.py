@@ -10,27 +10,65 @@ from xml.sax.saxutils import escape
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_known: dict[tuple[str, str, str], str] = {}
+_known: dict[tuple[str, str, str], tuple[str, str]] = {}
+#: buckets that rows are stored in by their key
+BUCKETS = 64
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``, which all executors share; a temporary one where it is unset (tests)."""
-    return spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="weftmatch-")
+    """The folder in ``spark.checkpoint.dir``, which all executors share; where it is unset, a temporary one if Spark runs in
+    one process (tests), else an error."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.split("[")[0] == "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return shared or "file://" + tempfile.mkdtemp(prefix="weftmatch-")
 
 
-def materialised(spark: SparkSession, name: str, source: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """The table ``name`` over ``source``, built and written once in a session and read by every query after that."""
+def _path(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _files(spark: SparkSession, path: str) -> str:
+    """Names, sizes and times of the files of a table."""
+    where, fs = _path(spark, path)
+    return repr(sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in fs.listStatus(where)))
+
+
+def materialised(spark: SparkSession, name: str, source: str, build: Callable[[], DataFrame], settings: str = "") -> DataFrame:
+    """The table ``name`` over the table in ``source``, built and written once in a session and read by every query after that.
+
+    It is built anew, and the old one deleted, when the files of the source or the settings have changed."""
     key = (spark.sparkContext.applicationId, source, name)
-    if key not in _known:
+    state = _files(spark, source) + settings
+    before = _known.get(key)
+    if before is None or before[1] != state:
         path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
         build().write.parquet(path)
-        _known[key] = path
-    return spark.read.parquet(_known[key])
+        _known[key] = (path, state)
+        if before is not None:
+            where, fs = _path(spark, before[0])
+            fs.delete(where, True)
+    return spark.read.parquet(_known[key][0])
 
 
 def replace_by_key(new: DataFrame, path: str, key: str) -> None:
-    """Write ``new`` so that every value of ``key`` in it replaces what was stored for that value; running twice changes nothing."""
-    new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
+    """Write ``new`` so that its rows replace all that was stored under their keys; running twice changes nothing.
+
+    Rows lie in ``BUCKETS`` folders by a hash of the key; only the buckets that ``new`` touches are written again."""
+    spark = new.sparkSession
+    where, fs = _path(spark, path)
+    rows = new.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int"))
+    if fs.exists(where):
+        old = spark.read.schema(rows.schema).parquet(path)
+        touched = rows.select("bucket").distinct()
+        kept = old.join(F.broadcast(touched), "bucket", "left_semi").join(new.select(key).distinct(), key, "left_anti")
+        rows = rows.unionByName(kept)
+    staged = f"{work_dir(spark)}/staged-{uuid.uuid4().hex}"
+    rows.write.parquet(staged)
+    spark.read.schema(rows.schema).parquet(staged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    where, fs = _path(spark, staged)
+    fs.delete(where, True)
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
@@ -39,8 +77,8 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def sheet_rows(df: DataFrame, sheet: str, order: list[str]) -> DataFrame:
-    """One XML row of a SpreadsheetML sheet per row of ``df``, numbered within the sheet's order; written with ``write.text``."""
+    """One XML row of a SpreadsheetML sheet per row of ``df``, in the sheet's order; a null is an empty cell. Written with ``write.text``."""
     number = {n for n, t in df.dtypes if t in ("int", "bigint", "double", "float")}
-    clean = lambda c: F.regexp_replace(F.regexp_replace(F.regexp_replace(F.coalesce(F.col(c).cast("string"), F.lit("")), "&", "&amp;"), "<", "&lt;"), ">", "&gt;")
-    cells = [F.concat(F.lit(f'<Cell><Data ss:Type="{"Number" if c in number else "String"}">'), clean(c), F.lit("</Data></Cell>")) for c in df.columns]
+    clean = lambda c: F.regexp_replace(F.regexp_replace(F.regexp_replace(F.col(c).cast("string"), "&", "&amp;"), "<", "&lt;"), ">", "&gt;")
+    cells = [F.coalesce(F.concat(F.lit(f'<Cell><Data ss:Type="{"Number" if c in number else "String"}">'), clean(c), F.lit("</Data></Cell>")), F.lit("<Cell/>")) for c in df.columns]
     return df.orderBy(*order).select(F.lit(escape(sheet)).alias("sheet"), F.concat(F.lit("<Row>"), *cells, F.lit("</Row>")).alias("value"))

@@ -1 +1 @@
-"""Micro-batch scoring and incremental upkeep."""
+"""Scoring of submissions as they arrive."""
