@@ -28,8 +28,8 @@ import heapq
 import math
 import re
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +39,8 @@ from pyspark.sql import types as T
 
 from . import textnum
 
-CACHE = 400_000
+#: parts that a worker keeps solved, and parts that it keeps the lattice of
+CACHE, LATTICES = 400_000, 20_000
 _NONE = -math.inf
 #: stands for a ``▁`` of the text itself, which is written in bytes; no text holds half a surrogate pair
 _MARK = "\udcff"
@@ -73,8 +74,10 @@ class Model:
             self.bytes_of[i] = bytes([b])
         sizes = np.array([len(b) for b in self.bytes_of])
         self.flat, self.flat_start, self.flat_size = np.frombuffer(b"".join(self.bytes_of), np.uint8), np.cumsum(sizes) - sizes, sizes
-        #: part -> (ids, score, second best score)
-        self.known: dict[str, tuple[tuple[int, ...], float, float]] = {}
+        #: part -> its place in ``best`` (scores), ``second`` (second best scores), ``start`` and ``size`` (of its ids in ``ids``)
+        self.known: dict[str, int] = {}
+        self.best, self.second, self.start, self.size, self.ids = array("d"), array("d"), array("q"), array("q"), array("i")
+        self.lattices: dict[str, tuple[list[list[tuple[int, float]]], list[float]]] = {}
 
     def _cuts(self) -> None:
         """Where texts fall apart: at word starts, at line breaks, and between a letter or digit and an ASCII mark that
@@ -108,35 +111,69 @@ class Model:
         i = self.id.get(piece)
         return (i,) if i is not None else tuple(self.byte_id[b] for b in piece.replace(_MARK, "▁").encode())
 
-    def solve(self, part: str) -> tuple[tuple[int, ...], float, float]:
-        """Forward Viterbi: ids and score of the best segmentation, and the second best score."""
-        n = len(part)
+    def solve(self, part: str) -> int:
+        """Forward Viterbi: the place of the part's best segmentation and second best score, behind all others."""
+        n, get, ids_of = len(part), self.begins.get, self.id.get
         best, second, back = [_NONE] * (n + 1), [_NONE] * (n + 1), [0] * (n + 1)
         best[0] = 0.0
-        for i, j, s in self.edges(part):
-            one, two = best[i] + s, second[i] + s
-            if one > best[j]:
-                second[j] = best[j] if best[j] > two else two
-                best[j], back[j] = one, i
-            elif one > second[j]:
-                second[j] = one
+        for i in range(n):
+            one, two = best[i], second[i]
+            s = get(part[i], _NONE)
+            j = i + 1
+            if s is None or s == _NONE:
+                open_, s = s is None, self.byte_score * len(part[i].replace(_MARK, "▁").encode())
+            else:
+                open_ = True
+            while True:
+                if s is not None:
+                    a = one + s
+                    if a > best[j]:
+                        b = two + s
+                        second[j] = best[j] if best[j] > b else b
+                        best[j], back[j] = a, i
+                    elif a > second[j]:
+                        second[j] = a
+                j += 1
+                if not open_ or j > n:
+                    break
+                s = get(part[i:j], _NONE)
+                if s == _NONE:
+                    break
         ids, at = [], n
         while at:
-            ids.append(self.ids_of(part[back[at] : at]))
+            piece = part[back[at] : at]
+            i = ids_of(piece)
+            if i is not None:
+                ids.append(i)
+            else:
+                ids.extend(reversed(self.ids_of(piece)))
             at = back[at]
-        return tuple(i for x in reversed(ids) for i in x), best[n], second[n]
+        ids.reverse()
+        self.start.append(len(self.ids))
+        self.size.append(len(ids))
+        self.ids.extend(ids)
+        self.best.append(best[n])
+        self.second.append(second[n])
+        return len(self.best) - 1
+
+    def lattice(self, part: str) -> tuple[list[list[tuple[int, float]]], list[float]]:
+        """The edges into each position, and the best score up to it."""
+        if part in self.lattices:
+            return self.lattices[part]
+        arcs: list[list[tuple[int, float]]] = [[] for _ in range(len(part) + 1)]
+        best = [0.0] + [_NONE] * len(part)
+        for i, j, s in self.edges(part):
+            arcs[j].append((i, s))
+            if best[i] + s > best[j]:
+                best[j] = best[i] + s
+        if len(self.lattices) < LATTICES:
+            self.lattices[part] = arcs, best
+        return arcs, best
 
     def n_best(self, parts: list[str], n: int) -> list[tuple[float, list[tuple[int, ...]]]]:
         """The n best (score, ids of each part) of the joined lattice of some parts: A* from the end."""
-        into, front = [], []
-        for part in parts:
-            arcs: list[list[tuple[int, float]]] = [[] for _ in range(len(part) + 1)]
-            best = [0.0] + [_NONE] * len(part)
-            for i, j, s in self.edges(part):
-                arcs[j].append((i, s))
-                best[j] = max(best[j], best[i] + s)
-            into.append(arcs)
-            front.append(best)
+        found = [self.lattice(part) for part in parts]
+        into, front = [arcs for arcs, _ in found], [best for _, best in found]
         before = [0.0]  # best scores of all parts in front of a part
         for best in front:
             before.append(before[-1] + best[-1])
@@ -160,51 +197,59 @@ class Model:
                 heapq.heappush(agenda, (-(behind + s + front[k][i] + before[k]), count, k, i, behind + s, ((k, i, at), path)))
         return out
 
-    def encode(self, text: str, n: int) -> tuple[np.ndarray, list[float], list[dict[int, tuple[int, ...]]], tuple[tuple[int, ...], ...]]:
-        """Ids of the best segmentation; the n best scores; for each of these, ids of the parts that differ; ids of all parts."""
+    def encode(self, text: str, n: int) -> tuple[np.ndarray, list[float], list[dict[int, tuple[int, ...]]], np.ndarray]:
+        """Ids of the best segmentation; the n best scores; for each of these, ids of the parts that differ from the best;
+        where each part's ids end in the best (0 first)."""
         if not text:
-            return np.zeros(0, np.int32), [0.0], [{}], ()
+            return np.zeros(0, np.int32), [0.0], [{}], np.zeros(1, np.int64)
         if "▁" in text:
             text = text.replace("▁", _MARK)
         parts = self.parts("▁" + text.replace(" ", "▁"))
-        known, extra = self.known, None
-        if new := set(parts).difference(known):
-            solved = {p: self.solve(p) for p in new}
-            if len(known) < CACHE:
-                known.update(solved)
-            else:
-                extra = solved
-        found = list(map(known.__getitem__, parts)) if extra is None else [known.get(p) or extra[p] for p in parts]
-        ids, best, next_best = zip(*found, strict=True)
-        total = math.fsum(best)
-        flat = np.array(list(chain.from_iterable(ids)), np.int32)
+        places, full = list(map(self.known.get, parts)), None
+        if None in places:
+            solved = self.known
+            if len(solved) >= CACHE:
+                full, solved = (len(self.best), len(self.ids)), {}
+            k = -1
+            for _ in range(places.count(None)):
+                k = places.index(None, k + 1)
+                p = parts[k]
+                if p not in solved:
+                    solved[p] = self.solve(p)
+                places[k] = solved[p]
+        at = np.array(places)
+        best, second, start, size = (np.frombuffer(x, t)[at] for x, t in ((self.best, "f8"), (self.second, "f8"), (self.start, "i8"), (self.size, "i8")))
+        ends = np.concatenate([[0], np.cumsum(size)])
+        flat = np.frombuffer(self.ids, np.int32)[np.repeat(start - ends[:-1], size) + np.arange(ends[-1])]
+        if full is not None:
+            # what only this text has, once the table is full
+            for x, k in ((self.best, full[0]), (self.second, full[0]), (self.start, full[0]), (self.size, full[0]), (self.ids, full[1])):
+                del x[k:]
+        total = math.fsum(best.tolist())
         if n == 1:
-            return flat, [total], [{}], ids
-        loss = np.array(best) - np.array(next_best)
+            return flat, [total], [{}], ends
+        loss = best - second
         at = np.sort(np.argpartition(loss, n - 2)[: n - 1]) if len(loss) >= n else np.arange(len(loss))
         at = at[np.isfinite(loss[at])].tolist()
         ways = self.n_best([parts[i] for i in at], n)
-        rest = total - math.fsum(found[i][1] for i in at)
+        rest = total - math.fsum(best[at].tolist())
         # of equal scores the best ids come first; where even n others are equal to them, for the last of these
-        first, others = [found[i][0] for i in at], [w for _, w in ways]
+        first, others = [tuple(flat[ends[i] : ends[i + 1]].tolist()) for i in at], [w for _, w in ways]
         others = [first, *[w for w in others if w != first]][: len(ways)]
-        return flat, [rest + s for s, _ in ways], [dict(zip(at, w, strict=True)) for w in others], ids
+        return flat, [rest + s for s, _ in ways], [{k: x for k, x, y in zip(at, w, first, strict=True) if x != y} for w in others], ends
 
-    def segmentations(self, flat: np.ndarray, ways: list[dict[int, tuple[int, ...]]], ids: tuple[tuple[int, ...], ...]) -> list[np.ndarray]:
+    def segmentations(self, flat: np.ndarray, ways: list[dict[int, tuple[int, ...]]], ends: np.ndarray) -> list[np.ndarray]:
         """The ids of each of the n best, from what ``encode`` returns."""
-        if len(ways) == 1 and not ways[0]:
-            return [flat]
-        ends = np.cumsum([0, *map(len, ids)])
         out = []
         for way in ways:
             pieces, at = [], 0
-            for k in sorted(way):
-                pieces += [flat[at : ends[k]], np.array(way[k], np.int32)]
+            for k, ids in way.items():
+                pieces += [flat[at : ends[k]], np.array(ids, np.int32)]
                 at = ends[k + 1]
-            out.append(np.concatenate([*pieces, flat[at:]]))
+            out.append(np.concatenate([*pieces, flat[at:]]) if way else flat)
         return out
 
-    def bytes_from(self, ids: tuple[int, ...]) -> bytes:
+    def bytes_from(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
     def decode(self, ids: np.ndarray) -> str:
@@ -245,13 +290,13 @@ def encode(docs: DataFrame, path: str, n_best: int = 4, keep: Iterable[str] = ("
                 n_pieces, crcs, all_scores, decoded, firsts, ways_of, n_ways = [], [], [], [], [], [], [0]
                 for raw in texts[a:b]:
                     t = raw.decode()
-                    ids, scores, ways, of_parts = own.encode(t, n_best)
-                    each = own.segmentations(ids, ways, of_parts) if with_ids else []
+                    ids, scores, ways, ends = own.encode(t, n_best)
+                    each = own.segmentations(ids, ways, ends) if with_ids else []
                     n_pieces.append(len(ids))
                     crcs.append(zlib.crc32(ids.astype("<u4").tobytes()))
                     all_scores.append(scores)
                     # the best is decoded whole; of the others, what differs from it
-                    decoded.append(own.decode(ids) == t and all(own.bytes_from(of_parts[k]) == own.bytes_from(way[k]) for way in ways for k in way if way[k] is not of_parts[k]))
+                    decoded.append(own.decode(ids) == t and all(own.bytes_from(ids[ends[k] : ends[k + 1]].tolist()) == own.bytes_from(way[k]) for way in ways for k in way))
                     if with_ids:
                         firsts.append(ids)
                         ways_of.extend(each)
