@@ -5,10 +5,10 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard_join, langid, line_dedup, pieces, quality_rules, token_counts, token_files, toxicity, url_filter
+from . import decontaminate, exponion, jaccard_join, langid, line_dedup, packing, periodic, pieces, quality_rules, token_counts, token_files, toxicity, url_filter
 from .shared import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -109,6 +109,72 @@ FROM u LEFT JOIN hit ON u.row_no = hit.row_no AND hit.k = 1
 """.format(rules=", ".join(str(r) for r in URL_RULES), sites=", ".join(f"('{s}.{d}')" for s in URL_SITES for d in URL_DOMAINS))
 
 
+def with_periods(docs: DataFrame) -> DataFrame:
+    """doc_id, text: one text in ten, by h = crc32 of doc_id, is periodic from word a on (see the contract of operator 11)."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = F.when(h % 10 == 0, F.expr("filter(split(text, '[ \\\\x09-\\\\x0D]+'), w -> w <> '')"))
+    placed = docs.select("doc_id", "text", words.alias("words"), F.floor(h / 10).alias("g")).withColumn("n", F.size("words").cast("long"))
+    split = placed.withColumn("a", F.expr("IF(n > 0, g % n, 0)")).withColumn("p", F.expr("1 + (n - a) div (3 + g % 8)"))
+    made = F.expr("concat_ws(' ', slice(words, 1, int(a)), transform(sequence(a, n - 1), i -> words[int(a + (i - a) % p)]))")
+    return split.select("doc_id", F.when(F.col("n") > 0, made).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.find_runs(with_periods(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    longest = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("less"), r["start"].alias("start"), r["period"].alias("period"))))
+    listed = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), longest.alias("r"), F.sha2(F.array_join(listed, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256")).select(
+        "doc_id", "n_runs", "r.start", (-F.col("r.less")).alias("length"), "r.period", F.expr("1000 * -r.less div r.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256",
+    )
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.sequences(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op13_exponion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors, centroids = exponion.cluster(table(spark, sf_dir, "embeddings"))
+    own = vectors.groupBy("cluster").agg(F.sum("distance").alias("cluster_inertia")).withColumn("inertia", F.sum("cluster_inertia").over(Window.partitionBy()))
+    digest = centroids.select("cluster", F.sha2(F.concat_ws(",", F.col("centroid").cast("array<string>")), 256).alias("centroid_sha256"))
+    # a row for each of 16 clusters
+    return vectors.join(F.broadcast(own.join(digest, "cluster")), "cluster").select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+_ROUND = """
+a{i} AS (
+  SELECT r, min({{'d': d, 'c': c}}) AS near FROM (
+    SELECT r, c, list_sum(list_transform(range(1, 65), lambda i: (v.x[i] - c.x[i]) * (v.x[i] - c.x[i])))::BIGINT AS d FROM v, c{i} c
+  ) GROUP BY r
+),
+"""
+_MEANS = """
+m{i} AS (
+  SELECT c, list(CAST(floor_div AS BIGINT) ORDER BY k) AS x FROM (
+    SELECT near.c AS c, k, (sum(x[k]) - ((sum(x[k]) % count(*)) + count(*)) % count(*)) // count(*) AS floor_div
+    FROM a{i} JOIN v USING (r), range(1, 65) AS ks(k) GROUP BY ALL
+  ) GROUP BY c
+),
+c{j} AS (SELECT c, coalesce(m{i}.x, c{i}.x) AS x FROM c{i} LEFT JOIN m{i} USING (c)),
+"""
+OP13_SQL = (
+    """
+WITH v AS (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS x
+  FROM embeddings WHERE len(embedding) = 64 AND list_bool_and(list_transform(embedding, lambda x: coalesce(isfinite(x), false)))
+),
+c0 AS (SELECT c - 1 AS c, x FROM (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id) NULLS LAST, x) AS c, x FROM v) WHERE c <= 16),
+"""
+    + "".join(_ROUND.format(i=i) + _MEANS.format(i=i, j=i + 1) for i in range(3))
+    + _ROUND.format(i=3)
+    + """
+s AS (SELECT near.c AS c, sum(near.d) AS own FROM a3 GROUP BY near.c)
+SELECT vec_id, CAST(near.c AS INTEGER) AS cluster, near.d AS distance, CAST(own AS BIGINT) AS cluster_inertia,
+  CAST((SELECT sum(own) FROM s) AS BIGINT) AS inertia, sha256(array_to_string(c3.x, ',')) AS centroid_sha256
+FROM a3 JOIN v USING (r) JOIN s ON s.c = near.c JOIN c3 ON c3.c = near.c
+"""
+)
+
 QUERIES: dict[str, Query] = {
     "op1_language_id": op1_language_id,
     "op2_quality_rules": op2_quality_rules,
@@ -120,6 +186,9 @@ QUERIES: dict[str, Query] = {
     "op8_toxicity": op8_toxicity,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_url_filter": op10_url_filter,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_packing": op12_packing,
+    "op13_exponion": op13_exponion,
 }
 
-ORACLES: dict[str, str] = {"op10_url_filter": OP10_SQL}
+ORACLES: dict[str, str] = {"op10_url_filter": OP10_SQL, "op13_exponion": OP13_SQL}
