@@ -32,7 +32,7 @@ def clamp_percent(x: Column) -> Column:
 
 def squeeze(text: Column) -> Column:
     """White space of all kinds to single blanks, trimmed, without decoration (_ * ~ =) at the ends."""
-    plain = F.trim(F.regexp_replace(text, r"(?U)[\s  -​ 　]+", " "))
+    plain = F.trim(F.regexp_replace(text, r"[\s\p{Z}\u0085​﻿]+", " "))
     return F.trim(F.regexp_replace(F.regexp_replace(plain, r"^[_*~=]+\s*", ""), r"\s*[_*~=]+$", ""))
 
 
