@@ -45,6 +45,12 @@ def overlapping(candidates: DataFrame) -> DataFrame:
     return candidates.where(F.col("shared") >= F.greatest(F.lit(2), F.floor(F.col("n") * 0.2)))
 
 
+def in_pairs(index: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The sentences of the index that are on either side of a pair."""
+    sides = pairs.select("doc_id", "idx").union(pairs.select("source_doc", "source_idx")).distinct()
+    return index.join(sides, ["doc_id", "idx"], "left_semi")
+
+
 def compared(index: DataFrame, pairs: DataFrame, weights: DataFrame) -> DataFrame:
     """PAIR with cosine, winnowing and jaccard of each pair."""
     own = index.where("NOT is_sample").select("doc_id", "idx", F.col("words").alias("words_a"), F.col("fingerprints").alias("fp_a"))
@@ -67,11 +73,13 @@ def scored(pairs: DataFrame, config: EngineConfig) -> DataFrame:
     return kept.withColumn("similarity", sim.weighted_score(config)).where(F.col("similarity") >= config.threshold)
 
 
-def sentence_matches(index: DataFrame, weights: DataFrame, config: EngineConfig | None = None) -> DataFrame:
-    """PAIR, similarity, cosine, winnowing, jaccard of all matches; an exact match has 1 in all four."""
+def sentence_matches(index: DataFrame, weights: DataFrame, config: EngineConfig | None = None, pairs: DataFrame | None = None) -> DataFrame:
+    """PAIR, similarity, cosine, winnowing, jaccard of all matches; an exact match has 1 in all four.
+
+    ``pairs`` are the candidates if they are at hand; ``weights`` must hold the sentences of all of them."""
     config = config or EngineConfig()
     exact = exact_pairs(index)
-    near = scored(compared(index, overlapping(candidate_pairs(index)), weights), config)
+    near = scored(compared(index, overlapping(candidate_pairs(index)) if pairs is None else pairs, weights), config)
     ones = [F.lit(1.0).alias(c) for c in ("similarity", "cosine", "winnowing", "jaccard")]
     return exact.select(*PAIR, *ones).unionByName(near.select(*PAIR, "similarity", "cosine", "winnowing", "jaccard"))
 

@@ -26,19 +26,35 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", (~F.col("source").isin("src0", "src1")).alias("is_sample"))
 
 
+def spread(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """The same rows on all cores where the files are too few for that; a large table stays as it is read."""
+    n = spark.sparkContext.defaultParallelism
+    return docs.repartition(2 * n) if docs.rdd.getNumPartitions() < n else docs
+
+
 def _index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The feature index, written once a session: it costs far more than the joins over it."""
-    return materialised(spark, "sentence_index", f"{sf_dir}/documents.parquet", lambda: st.sentence_index(documents(spark, sf_dir), CONFIG), repr(CONFIG))
+    build = lambda: st.sentence_index(spread(spark, documents(spark, sf_dir)), CONFIG)
+    return materialised(spark, "sentence_index", f"{sf_dir}/documents.parquet", build, repr(CONFIG))
+
+
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidate pairs with enough shared fingerprints; every step of the comparison reads them."""
+    build = lambda: m.overlapping(m.candidate_pairs(_index(spark, sf_dir))).select(*m.PAIR)
+    return materialised(spark, "candidate_pair", f"{sf_dir}/documents.parquet", build, repr(CONFIG))
 
 
 def _weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Term weights of the sentences that are in a candidate pair; no other sentence is compared by them."""
     index = _index(spark, sf_dir)
-    return materialised(spark, "term_weights", f"{sf_dir}/documents.parquet", lambda: st.term_weights(index, st.vocab_idf(index)), repr(CONFIG))
+    build = lambda: st.term_weights(m.in_pairs(index, _pairs(spark, sf_dir)), st.vocab_idf(index))
+    return materialised(spark, "term_weights", f"{sf_dir}/documents.parquet", build, repr(CONFIG))
 
 
 def _matches(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     index = _index(spark, sf_dir)
-    return index, materialised(spark, "sentence_match", f"{sf_dir}/documents.parquet", lambda: m.sentence_matches(index, _weights(spark, sf_dir), CONFIG), repr(CONFIG))
+    build = lambda: m.sentence_matches(index, _weights(spark, sf_dir), CONFIG, _pairs(spark, sf_dir))
+    return index, materialised(spark, "sentence_match", f"{sf_dir}/documents.parquet", build, repr(CONFIG))
 
 
 def _spans(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -110,14 +126,11 @@ def candidate_pairs(spark, d):
 
 
 def candidate_min_overlap(spark, d):
-    index = _index(spark, d)
-    return m.overlapping(m.candidate_pairs(index)).select(*m.PAIR)
+    return _pairs(spark, d)
 
 
 def _compared(spark, d):
-    index = _index(spark, d)
-    pairs = m.overlapping(m.candidate_pairs(index))
-    return m.compared(index, pairs, _weights(spark, d))
+    return m.compared(_index(spark, d), _pairs(spark, d), _weights(spark, d))
 
 
 def jaccard_pairs(spark, d):
