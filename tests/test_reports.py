@@ -37,8 +37,3 @@ def test_states_and_levels(spark):
     assert cards.total == cards.scored + cards.failed + cards.in_progress
     assert sum(r.n for r in reports.run("rating_distribution", spark, SF).collect()) == spark.read.parquet(f"{SF}/events.parquet").where("event_type = 'click'").count()
 
-
-def test_lines_by_form(spark):
-    lines = lambda name: {r.line for r in reports.run(name, spark, SF).collect()}
-    assert {"MỞ ĐẦU VÀ TỔNG QUAN", "CHAPTER ONE THE RIVER"} <= lines("heading_form") and {"12", "2024"} <= lines("page_number_lines")
-    assert "tênTrườngKiểuDữLiệu" in lines("glued_row") and "1.2.3 Phạm vi" in lines("numbering_split")

@@ -34,9 +34,8 @@ _STATE = f"""SELECT c_custkey AS report, c_name AS title, c_nationkey AS class_i
 #: half-open ranges of percent
 _BUCKETS = "(VALUES ('0-5', 0, 5), ('5-15', 5, 15), ('15-30', 15, 30), ('30-50', 30, 50), ('50+', 50, 1000)) AS b(code, lo, hi)"
 _LEVEL = "CASE WHEN ratio IS NULL THEN NULL WHEN ratio >= 30 THEN 'high' WHEN ratio >= 15 THEN 'medium' ELSE 'low' END"
-#: lines of the texts, with a few made ones of each kind
-_LINES = """SELECT trim(line) AS line FROM (SELECT @rows(@split(text, chr(10))) AS line FROM documents) x WHERE trim(line) <> ''
-  UNION ALL SELECT line FROM (VALUES ('12'), ('MỞ ĐẦU VÀ TỔNG QUAN'), ('CHAPTER ONE THE RIVER'), ('Hình 2.1: Sơ đồ'), ('Bảng 3. Kết quả'), ('Figure 4 - plan'), ('tênTrườngKiểuDữLiệu'), ('1.2.3 Phạm vi'), ('Nguyễn Văn An'), ('Tổng quan ........ 12'), ('2024')) AS v(line)"""
+#: lines of the texts
+_LINES = "SELECT trim(line) AS line FROM (SELECT @rows(@split(text, chr(10))) AS line FROM documents) x WHERE trim(line) <> ''"
 
 SQL: dict[str, str] = {
     # lists of reports
@@ -62,15 +61,12 @@ SQL: dict[str, str] = {
     "level_class": f"SELECT report, {_LEVEL} AS level FROM ({_STATE}) s",
     "range_bucket": f"SELECT s.report, b.code FROM ({_STATE}) s JOIN {_BUCKETS} ON s.ratio >= b.lo AND s.ratio < b.hi",
     "overlap_histogram": f"SELECT b.code, count(s.report) AS n, CAST(floor(100.0 * count(s.report) / (SELECT count(*) FROM ({_STATE}) t WHERE ratio IS NOT NULL) + 0.5) AS BIGINT) AS percent FROM {_BUCKETS} LEFT JOIN ({_STATE}) s ON s.ratio >= b.lo AND s.ratio < b.hi GROUP BY b.code",
-    "mean_ignoring_null": f"SELECT class_id, CAST(floor(avg(ratio) * 100 + 0.5) AS BIGINT) AS mean_x100, count(ratio) AS n FROM ({_STATE}) s GROUP BY class_id",
     "ratio_by_counts": f"SELECT class_id, CAST(floor(1000.0 * count_if(state = 'Lỗi') / nullif(count(ratio), 0) + 0.5) AS BIGINT) AS failed_per_mille FROM ({_STATE}) s GROUP BY class_id",
     "group_multivalue": "SELECT label, count(*) AS students, CAST(sum(n) AS BIGINT) AS submissions, min(c_custkey) AS first_student FROM (SELECT @rows(@split(CASE WHEN c_custkey % 7 = 0 THEN '(Chưa cập nhật)' ELSE c_mktsegment || ',' || CAST(c_nationkey AS @str) END, ',')) AS label, c_custkey, coalesce(n, 0) AS n FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey) o ON c_custkey = o_custkey) x GROUP BY label",
     "class_by_year": "SELECT CAST(year(o_orderdate) AS INT) AS y, count(DISTINCT o_custkey) AS students, count(*) AS submissions FROM orders GROUP BY year(o_orderdate)",
     "distinct_values": "SELECT DISTINCT p_type FROM part WHERE p_type IS NOT NULL AND p_type <> ''",
     "scalar_counts": "SELECT (SELECT count(*) FROM customer) AS reports, (SELECT count(*) FROM events WHERE event_type = 'error') AS failed_runs, (SELECT count(*) FROM documents WHERE source NOT IN ('src0', 'src1')) AS samples",
-    "teacher_scope": "SELECT s.s_suppkey AS teacher, count(DISTINCT n.n_nationkey) AS classes, count(DISTINCT c.c_custkey) AS members, count(DISTINCT o.o_orderkey) AS reports FROM supplier s LEFT JOIN nation n ON n.n_nationkey = s.s_nationkey LEFT JOIN customer c ON c.c_nationkey = n.n_nationkey LEFT JOIN orders o ON o.o_custkey = c.c_custkey AND o.o_orderstatus = 'P' GROUP BY s.s_suppkey",
     # order and pages
-    "null_last_sort": f"SELECT report, ratio, row_number() OVER (ORDER BY ratio DESC NULLS LAST, report) AS down, row_number() OVER (ORDER BY ratio ASC NULLS LAST, report) AS up FROM (SELECT report, ratio FROM ({_STATE}) s WHERE class_id = 3) x",
     "top20_sources": f"SELECT report, title, ratio FROM ({_STATE}) s ORDER BY ratio DESC NULLS LAST, lower(title), report LIMIT 20",
     "page_offset": "SELECT o_orderkey, o_totalprice, (SELECT CAST(floor((count(*) + 19) / 20) AS BIGINT) FROM orders) AS pages FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20 OFFSET 40",
     "group_label_sort": "SELECT label, row_number() OVER (ORDER BY CASE WHEN label = '(Chưa cập nhật)' THEN 1 ELSE 0 END, label) AS place FROM (SELECT DISTINCT CASE WHEN c_custkey % 7 = 0 THEN '(Chưa cập nhật)' ELSE c_mktsegment END AS label FROM customer) x",
@@ -78,11 +74,9 @@ SQL: dict[str, str] = {
     "rating_distribution": "SELECT b.stars, count(e.event_id) AS n, CAST(floor(1000.0 * count(e.event_id) / nullif((SELECT count(*) FROM events WHERE event_type = 'click'), 0) + 0.5) AS BIGINT) AS per_mille FROM (VALUES (5), (4), (3), (2), (1)) AS b(stars) LEFT JOIN events e ON e.event_type = 'click' AND 1 + e.event_id % 5 = b.stars GROUP BY b.stars",
     "rating_avg": "SELECT event_type, count(*) AS n, CAST(floor(avg(1 + event_id % 5) * 10 + 0.5) AS BIGINT) AS stars_x10 FROM events GROUP BY event_type",
     "rating_list": "SELECT e.event_id, 1 + e.event_id % 5 AS stars, coalesce(s.s_name, c.c_name, CAST(e.user_id AS @str)) AS reviewer FROM events e LEFT JOIN supplier s ON s.s_suppkey = e.user_id AND e.event_id % 3 = 0 LEFT JOIN customer c ON c.c_custkey = e.user_id",
-    "identity_resolution": "SELECT k.code, coalesce(u.c_custkey, t.s_suppkey) AS user_id FROM (SELECT c_name AS code FROM customer WHERE c_custkey < 50 UNION SELECT s_name FROM supplier UNION SELECT 'nobody') k LEFT JOIN customer u ON u.c_name = k.code LEFT JOIN supplier t ON t.s_name = k.code",
     # classes, assignments, accounts
     "class_members": "SELECT c.c_nationkey AS class_id, c.c_custkey AS member FROM customer c LEFT ANTI JOIN (SELECT s_suppkey, s_nationkey FROM supplier) s ON c.c_custkey = s.s_suppkey AND c.c_nationkey = s.s_nationkey WHERE c.c_mktsegment <> 'MACHINERY'",
     "same_person": "SELECT c.c_custkey, s.s_suppkey FROM customer c JOIN supplier s ON coalesce(nullif(c.c_custkey % 200, 0), c.c_custkey) = s.s_suppkey",
-    "member_accounts": "SELECT m.class_id, m.member, c.c_name AS account FROM (SELECT class_id, @rows(members) AS member FROM (SELECT c_nationkey AS class_id, @list(c_custkey + CASE WHEN c_custkey % 9 = 0 THEN 1000000 ELSE 0 END) AS members FROM customer GROUP BY c_nationkey) x) m LEFT JOIN customer c ON c.c_custkey = m.member",
     "class_assignment_counts": "SELECT n.n_nationkey AS class_id, count(DISTINCT o.o_orderpriority) AS assignments, count(o.o_orderkey) AS submissions, count(DISTINCT o.o_custkey) AS submitters FROM nation n LEFT JOIN customer c ON c.c_nationkey = n.n_nationkey LEFT JOIN orders o ON o.o_custkey = c.c_custkey GROUP BY n.n_nationkey",
     "assignment_submitted_missing": "SELECT a.class_id, a.assignment, m.members, a.submitted, greatest(0, m.members - a.submitted) AS missing FROM (SELECT c_nationkey AS class_id, o_orderpriority AS assignment, count(DISTINCT c_custkey) AS submitted FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY c_nationkey, o_orderpriority) a JOIN (SELECT c_nationkey AS class_id, count(*) AS members FROM customer GROUP BY c_nationkey) m ON a.class_id = m.class_id",
     "submitted_and_missing": "SELECT c_custkey AS student, 'submitted' AS state FROM customer LEFT SEMI JOIN (SELECT DISTINCT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT') o ON o_custkey = c_custkey UNION ALL SELECT c_custkey, 'missing' FROM customer LEFT ANTI JOIN (SELECT DISTINCT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT') o ON o_custkey = c_custkey",
@@ -90,32 +84,20 @@ SQL: dict[str, str] = {
     "account_stats": "SELECT c.c_custkey AS account, coalesce(a.n, 0) + coalesce(b.n, 0) AS reports, s.s_name AS teacher FROM customer c LEFT JOIN (SELECT o_custkey AS id, count(*) AS n FROM orders GROUP BY o_custkey) a ON a.id = c.c_custkey LEFT JOIN (SELECT user_id AS id, count(*) AS n FROM events GROUP BY user_id) b ON b.id = c.c_custkey LEFT JOIN supplier s ON s.s_suppkey = c.c_custkey",
     "reused_samples": "SELECT c_custkey AS report, o.o_custkey IS NOT NULL AS is_sample, e.ratio FROM customer LEFT JOIN (SELECT DISTINCT o_custkey FROM orders WHERE o_orderstatus = 'F') o ON o_custkey = c_custkey LEFT JOIN (SELECT user_id, max(value) AS ratio FROM events GROUP BY user_id) e ON e.user_id = c_custkey",
     "no_result": "SELECT c_custkey AS report FROM customer LEFT ANTI JOIN events ON user_id = c_custkey",
-    "roster_emails": "SELECT lower(c_name) || '@school' AS email, c_custkey AS account FROM customer JOIN (SELECT DISTINCT lower('CUSTOMER#' || substr(c_name, 10)) AS login FROM customer WHERE c_custkey % 5 = 0) r ON lower(c_name) = r.login",
     "roster_valid": "SELECT c_custkey FROM (SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_acctbal > 0 END AS valid, CASE WHEN c_custkey % 11 = 0 THEN NULL ELSE c_custkey % 2 = 0 END AS registered FROM customer) x WHERE coalesce(valid, TRUE) AND coalesce(registered, TRUE)",
     # maintenance
     "dup_detect": "SELECT o_custkey, o_orderpriority, count(*) AS n, max(o_orderkey) AS kept FROM orders GROUP BY o_custkey, o_orderpriority HAVING count(*) > 1",
     "dup_removed": "SELECT o_orderkey FROM (SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderkey DESC) AS k FROM orders) x WHERE k > 1",
     "latest_per_key": f"SELECT user_id, event_id, event_type, value FROM ({_LATEST}) l",
     "retention_cut": f"SELECT event_id FROM events WHERE ts < {NOW} - INTERVAL 7 DAY AND event_type <> 'purchase'",
-    "retention_cascade": f"SELECT e.event_id FROM events e LEFT ANTI JOIN (SELECT DISTINCT user_id FROM events WHERE ts < {NOW} - INTERVAL 14 DAY AND event_type = 'error') d ON e.user_id = d.user_id",
     "next_code": "SELECT 'KT' || lpad(CAST(max(CAST(substr(c_name, 10) AS BIGINT)) + 1 AS @str), 6, '0') AS code, max(CAST(substr(c_name, 10) AS BIGINT)) AS last_number FROM customer WHERE c_name LIKE 'Customer#%'",
     "role_sync": "SELECT c_custkey AS id, 'insert' AS action FROM customer LEFT ANTI JOIN supplier ON s_suppkey = c_custkey WHERE c_mktsegment = 'BUILDING' UNION ALL SELECT s_suppkey, 'delete' FROM supplier LEFT ANTI JOIN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING') b ON c_custkey = s_suppkey",
     "key_rename": "SELECT o.o_orderkey, coalesce(r.new_key, o.o_custkey) AS o_custkey FROM orders o LEFT JOIN (SELECT c_custkey AS old_key, c_custkey + 900000 AS new_key FROM customer WHERE c_custkey % 10 = 3) r ON o.o_custkey = r.old_key",
     "counter_refresh": "SELECT c_custkey, coalesce(n, 0) AS n_reports FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey) o ON o_custkey = c_custkey",
-    "insert_defaults": "SELECT k.id, coalesce(c.c_mktsegment, 'NEW') AS segment, c.c_custkey IS NULL AS inserted FROM (SELECT c_custkey AS id FROM customer WHERE c_custkey < 20 UNION SELECT 5000000) k LEFT JOIN customer c ON c.c_custkey = k.id",
-    "rename_and_clamp": "SELECT event_id, CAST(least(100.0, greatest(0.0, value * 10)) AS DOUBLE) AS ratio, event_type = 'error' AND value IS NULL AS repaired FROM events",
     # formats
     "code_formats": "SELECT c_custkey, 'SV' || lpad(CAST(c_custkey AS @str), 7, '0') AS student, 'BC' || CAST(c_custkey AS @str) AS report FROM customer",
-    "percent_formats": f"SELECT report, CAST(CAST(floor(ratio) AS BIGINT) AS @str) || '.' || CAST(CAST(floor(ratio * 10 + 0.5) AS BIGINT) % 10 AS @str) || ' %' AS shown FROM ({_STATE}) s WHERE ratio IS NOT NULL AND floor(ratio * 10 + 0.5) < 10 * floor(ratio) + 10",
-    "date_formats": "SELECT o_orderkey, lpad(CAST(day(o_orderdate) AS @str), 2, '0') || '/' || lpad(CAST(month(o_orderdate) AS @str), 2, '0') || '/' || CAST(year(o_orderdate) AS @str) AS shown FROM orders",
-    "file_names": "SELECT doc_id, regexp_replace(regexp_replace(name, '[^A-Za-z0-9._-]+', '_'@all), '[.][^.]*$', ''@all) AS stem, lower(regexp_extract(name, '[.]([^.]*)$', 1)) AS ext FROM (SELECT doc_id, substr(text, 1, 20) || '.DOCX' AS name FROM documents WHERE text IS NOT NULL AND NOT contains(substr(text, 1, 20), chr(10))) x",
     # lines by their form
-    "page_number_lines": f"SELECT line, count(*) AS n FROM ({_LINES}) l WHERE length(line) <= 4 AND regexp_replace(line, '[0-9]', ''@all) = '' GROUP BY line",
-    "heading_form": f"SELECT line, count(*) AS n FROM ({_LINES}) l WHERE length(line) BETWEEN 4 AND 80 AND right(line, 1) NOT IN ('.', '!', '?', ';', ',', ':') AND length(regexp_replace(line, '[^\\\\p{{L}}]', ''@all)) >= 4 AND contains(line, ' ') AND 10 * length(regexp_replace(line, '[^\\\\p{{L}}]|\\\\p{{Ll}}', ''@all)) >= 7 * length(regexp_replace(line, '[^\\\\p{{L}}]', ''@all)) GROUP BY line",
-    "glued_row": f"SELECT line, count(*) AS n FROM ({_LINES}) l WHERE length(line) >= 12 AND length(regexp_replace(line, '\\\\p{{Ll}}\\\\p{{Lu}}', '_'@all)) <= length(line) - 2 GROUP BY line",
     "prose_lines": f"SELECT CAST(length(line) AS BIGINT) AS size, count(*) AS n FROM ({_LINES}) l WHERE length(line) >= 150 AND right(line, 1) IN ('.', '!', '?') GROUP BY length(line)",
-    "numbering_split": f"SELECT line, regexp_extract(line, '^([0-9]+([.][0-9]+)*)[.)]? +', 1) AS mark, regexp_replace(line, '^[0-9]+([.][0-9]+)*[.)]? +', ''@all) AS rest, count(*) AS n FROM ({_LINES}) l WHERE regexp_extract(line, '^([0-9]+([.][0-9]+)*)[.)]? +', 1) <> '' GROUP BY line",
-    "repeated_lines": "SELECT line, count(*) AS n FROM (SELECT DISTINCT doc_id, line FROM (SELECT doc_id, @rows(@split(text, chr(10))) AS line FROM documents) x WHERE length(line) BETWEEN 4 AND 120) y GROUP BY line HAVING count(*) >= 3",
 }
 
 
