@@ -1,4 +1,4 @@
-"""Tables that outlive a query: materialised intermediates, replacement by key, multi-sheet exports."""
+"""Tables that outlive a query: materialised intermediates, replacement by key, workbooks."""
 
 from __future__ import annotations
 
@@ -11,8 +11,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _known: dict[tuple[str, str, str], tuple[str, str]] = {}
-#: buckets that rows are stored in by their key
-BUCKETS = 64
 
 
 def work_dir(spark: SparkSession) -> str:
@@ -52,25 +50,6 @@ def materialised(spark: SparkSession, name: str, source: str, build: Callable[[]
     return spark.read.parquet(_known[key][0])
 
 
-def replace_by_key(new: DataFrame, path: str, key: str) -> None:
-    """Write ``new`` so that its rows replace all that was stored under their keys; running twice changes nothing.
-
-    Rows lie in ``BUCKETS`` folders by a hash of the key; only the buckets that ``new`` touches are written again."""
-    spark = new.sparkSession
-    where, fs = _path(spark, path)
-    rows = new.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int"))
-    if fs.exists(where):
-        old = spark.read.schema(rows.schema).parquet(path)
-        touched = rows.select("bucket").distinct()
-        kept = old.join(F.broadcast(touched), "bucket", "left_semi").join(new.select(key).distinct(), key, "left_anti")
-        rows = rows.unionByName(kept)
-    staged = f"{work_dir(spark)}/staged-{uuid.uuid4().hex}"
-    rows.write.parquet(staged)
-    spark.read.schema(rows.schema).parquet(staged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
-    where, fs = _path(spark, staged)
-    fs.delete(where, True)
-
-
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """``old`` with the rows of ``new`` in place of those with the same keys."""
     return old.join(new.select(*keys), keys, "left_anti").unionByName(new)
@@ -82,3 +61,21 @@ def sheet_rows(df: DataFrame, sheet: str, order: list[str]) -> DataFrame:
     clean = lambda c: F.regexp_replace(F.regexp_replace(F.regexp_replace(F.col(c).cast("string"), "&", "&amp;"), "<", "&lt;"), ">", "&gt;")
     cells = [F.coalesce(F.concat(F.lit(f'<Cell><Data ss:Type="{"Number" if c in number else "String"}">'), clean(c), F.lit("</Data></Cell>")), F.lit("<Cell/>")) for c in df.columns]
     return df.orderBy(*order).select(F.lit(escape(sheet)).alias("sheet"), F.concat(F.lit("<Row>"), *cells, F.lit("</Row>")).alias("value"))
+
+
+#: fixed values: what stands around the sheets of a SpreadsheetML workbook
+_BOOK = ('<?xml version="1.0" encoding="UTF-8"?>', '<Workbook xmlns="urn:schemas-microsoft-com:office:spreadsheet" xmlns:ss="urn:schemas-microsoft-com:office:spreadsheet">', "</Workbook>")
+
+
+def workbook(sheets: list[tuple[str, DataFrame, list[str]]]) -> DataFrame:
+    """The lines of a workbook: each sheet (name, rows, order) with a row of titles and its rows in order.
+
+    The rows of a sheet are sorted by ranges and never come together in one place. Written with ``write.text``, the parts in order
+    of their names are the file."""
+    spark = sheets[0][1].sparkSession
+    lines = lambda *texts: spark.createDataFrame([(t,) for t in texts], "value string").coalesce(1)
+    out = lines(*_BOOK[:2])
+    for name, df, order in sheets:
+        titles = "".join(f'<Cell><Data ss:Type="String">{escape(c)}</Data></Cell>' for c in df.columns)
+        out = out.union(lines(f'<Worksheet ss:Name="{escape(name)}"><Table>', f"<Row>{titles}</Row>")).union(sheet_rows(df, name, order).select("value")).union(lines("</Table></Worksheet>"))
+    return out.union(lines(_BOOK[2]))

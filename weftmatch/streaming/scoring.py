@@ -14,7 +14,7 @@ from ..config import EngineConfig
 from ..operators import matching as m
 from ..operators import sentences as st
 from ..operators import statistics as stats
-from ..sources.storage import replace_by_key
+from ..sources.versions import replace_by_key
 
 
 def score_batch(batch: DataFrame, samples: DataFrame, idf: DataFrame, weights: DataFrame, config: EngineConfig) -> DataFrame:
@@ -27,10 +27,12 @@ def score_batch(batch: DataFrame, samples: DataFrame, idf: DataFrame, weights: D
 
 
 def stream_score(incoming: DataFrame, samples: DataFrame, idf: DataFrame, weights: DataFrame, out: str, checkpoint: str, config: EngineConfig | None = None) -> StreamingQuery:
-    """Score a stream of documents (doc_id, text) until what is there is done; results are kept in ``out`` by doc_id."""
+    """Score a stream of documents (doc_id, text) until what is there is done; results are versions of the table ``rows`` in ``out``.
+
+    A batch that comes again after a crash carries the same token, so it is not stored twice."""
     config = config or EngineConfig()
 
-    def store(batch: DataFrame, _: int) -> None:
-        replace_by_key(score_batch(batch, samples, idf, weights, config), out, "doc_id")
+    def store(batch: DataFrame, number: int) -> None:
+        replace_by_key(score_batch(batch, samples, idf, weights, config), out, "doc_id", token=f"{checkpoint} {number}")
 
     return incoming.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
