@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textnum
+from .shared import Scratch, row_keys
 
 UNIT = 48
 STEP = 32
@@ -290,6 +291,10 @@ def _matcher(sent, threshold: float):
 
 
 def clean_documents(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` of which no item was found; a row without doc_id is judged by itself and kept."""
-    found = leaks(docs, items, **options).select("doc_id").where("doc_id IS NOT NULL").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    """The rows of ``docs`` of which no item was found. Each row is judged by its own text (``shared.row_keys``): of rows that share a
+    doc_id only those that hold an item go, and so does a row without doc_id that holds one."""
+    names = [f"keep_{i}" for i in range(len(docs.columns))]
+    doc_id, text = (names[docs.columns.index(c)] for c in ("doc_id", "text"))
+    keyed, _ = row_keys(docs.toDF(*names), Scratch(docs.sparkSession), doc_id, text)
+    found = leaks(keyed.select(F.col("row_key").alias("doc_id"), F.col(text).alias("text")), items, **options).select(F.col("doc_id").alias("row_key")).distinct()
+    return keyed.join(found, "row_key", "left_anti").select(*names).toDF(*docs.columns)

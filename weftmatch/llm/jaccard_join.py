@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textnum
-from .shared import Scratch, components
+from .shared import Scratch, components, each_once, row_keys
 
 #: tokens of more classes than this are indexed in pairs with a token of the difference to a centre
 RARE = 200
@@ -335,6 +335,14 @@ def groups(docs: DataFrame, percent: int = 80, words: int = 5, doc_id: str = "do
 
 
 def one_of_each(docs: DataFrame, percent: int = 80, words: int = 5) -> DataFrame:
-    """The documents of ``docs`` whose doc_id is the smallest of its group; a row without doc_id stays."""
-    gone = groups(docs, percent, words).where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row of ``docs`` of each group of near copies, that with the smallest doc_id.
+
+    Rows are told apart by ``shared.row_keys``: of rows that share a doc_id each is judged by its own text, and of rows that repeat id
+    and text one stays. A row without doc_id takes part and gives way to those that have one. Rows without a word are linked with nothing."""
+    names = [f"keep_{i}" for i in range(len(docs.columns))]
+    scratch = Scratch(docs.sparkSession)
+    plain = docs.toDF(*names)
+    doc_id, text = (names[docs.columns.index(c)] for c in ("doc_id", "text"))
+    keyed, some_shared = row_keys(plain, scratch, doc_id, text)
+    gone = groups(keyed.select("row_key", F.col(text).alias("text")), percent, words, "row_key").where("component_id <> doc_id").select(F.col("doc_id").alias("row_key")).distinct()
+    return each_once(keyed.join(gone, "row_key", "left_anti"), some_shared).select(*names).toDF(*docs.columns)

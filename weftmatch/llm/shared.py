@@ -79,6 +79,37 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return Scratch(df.sparkSession).put(df, name)
 
 
+#: keys of rows that no doc_id tells apart lie above every doc_id, those without a doc_id above these
+_OWN, _NO_ID = 1 << 62, 1 << 61
+#: that many repeated ids are sent to every task; more are met in a shuffle
+SENT_IDS = 200_000
+
+
+def row_keys(docs: DataFrame, scratch: Scratch, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, bool]:
+    """``docs`` with row_key (long) and is_told_apart (boolean), and whether any row is not told apart by its doc_id.
+
+    The key of a row is its doc_id where no other row has it. Rows that share a doc_id, and rows without one, get keys by a 61-bit hash
+    of id and text, so that rows of one id with different texts are apart, and rows that repeat id and text have one key. It depends on
+    content alone, and so is the same each time ``docs`` is read. Smaller ids have smaller keys; a doc_id of 2**62 or more counts as shared."""
+    own = F.col(doc_id).cast("long")
+    ids = docs.select(own.alias("shared_id"))
+    counts = ids.groupBy("shared_id").agg(F.count("*").alias("n_rows")).where(f"n_rows > 1 OR shared_id IS NULL OR shared_id >= {_OWN}")
+    shared = scratch.put(counts.select("shared_id"), "shared_ids")
+    n = shared.count()
+    if not n:
+        return docs.withColumns({"row_key": own, "is_told_apart": F.lit(True)}), False
+    table = shared.where("shared_id IS NOT NULL").withColumn("is_shared", F.lit(True))
+    joined = docs.join(F.broadcast(table) if n <= SENT_IDS else table, own == F.col("shared_id"), "left")
+    hashed = F.xxhash64(own, F.col(text).cast("string")).bitwiseAND(_NO_ID - 1)
+    key = F.when(own.isNull(), hashed + (_OWN + _NO_ID)).when(F.col("is_shared"), hashed + _OWN).otherwise(own)
+    return joined.withColumns({"row_key": key, "is_told_apart": key < _OWN}).drop("shared_id", "is_shared"), True
+
+
+def each_once(keyed: DataFrame, some_shared: bool) -> DataFrame:
+    """One row of each row_key; only rows that their doc_id does not tell apart are shuffled for it."""
+    return keyed.where("is_told_apart").unionByName(keyed.where("NOT is_told_apart").dropDuplicates(["row_key"])) if some_shared else keyed
+
+
 def components(edges: DataFrame, scratch: Scratch, max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of ``edges`` (a, b: long); the component is its smallest node.
 
