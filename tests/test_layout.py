@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftmatch.functions import similarity as sim
+from weftmatch.operators import boxes as bx
 from weftmatch.operators import headers as hd
 from weftmatch.operators import locating as lo
 from weftmatch.operators import segmentation as sg
@@ -122,6 +123,28 @@ def test_sentences_are_found_where_they_stand(spark):
         assert got[1, 3].start == 500 and got[1, 3].score == pytest.approx(dice(" ".join(words[500:520]), " ".join(sought[3])))
 
 
+def test_points_inside_rectangles_like_a_plain_loop(spark):
+    rng = random.Random(12)
+    points = [(p, i, rng.uniform(-50, 400), rng.uniform(-50, 400)) for p in range(3) for i in range(150)] + [(0, 900, 98.0, 98.0), (0, 901, 97.9, 98.0)]
+    tables = [(rng.randrange(3), x := rng.uniform(0, 300), y := rng.uniform(0, 300), x + rng.uniform(0, 150), y + rng.uniform(0, 90)) for _ in range(8)] + [(0, 100.0, 100.0, 110.0, 110.0), (0, 100.0, 100.0, 110.0, 110.0)]
+    got = bx.inside(spark.createDataFrame(points, "page int, i int, x double, y double"), spark.createDataFrame(tables, "page int, x0 double, y0 double, x1 double, y1 double"), ["page"])
+    want = {(p, i) for p, i, x, y in points if any(q == p and x0 - 2 <= x <= x1 + 2 and y0 - 2 <= y <= y1 + 2 for q, x0, y0, x1, y1 in tables)}
+    rows = [(r.page, r.i) for r in got.collect()]
+    assert sorted(rows) == sorted(want) and (0, 900) in want and len(rows) == len(set(rows))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_lines_of_boxes_follow_their_first_box(spark):
+    # each box is near the one before; the third is too far from the first, which holds the line
+    boxes = [(1, 0, 0.0, 100.0, 10.0, 10.0), (1, 1, 12.0, 105.0, 10.0, 10.0), (1, 2, 24.0, 110.0, 10.0, 10.0), (1, 3, 50.0, 101.0, 0.0, 10.0), (1, 4, 60.0, 109.0, 5.0, 20.0), (2, 0, 0.0, 5.0, 9.0, 0.5)]
+    frame = spark.createDataFrame(boxes, "page int, place int, x double, y double, width double, height double")
+    got = {(r.page, r.line): (r.y, r.x_from, r.x_to, r.n) for r in bx.lines_of_boxes(frame, ["page"]).collect()}
+    assert got == {(1, 0): (100.0, 0.0, 65.0, 3), (1, 1): (110.0, 24.0, 34.0, 1), (2, 0): (5.0, 0.0, 9.0, 1)}
+    heights = spark.createDataFrame([(1, 110.0)], "page int, page_height double")
+    assert sorted((r.page, r.place) for r in bx.without_bands(frame, heights, ["page"]).collect()) == [(2, 0)]
+
+
 def test_vietnamese_order(spark):
     titles = ["Đường", "dù", "Ăn", "an", "Âm", "Ô", "ơn", "ong", "Bà", "ba", None]
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(titles)], "i int, t string").withColumn("k", F.collate("t", "vi_CI_AI"))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..operators import boxes as bx
 from ..operators import headers as hd
 from ..operators import locating as lo
 from ..operators import segmentation as sg
@@ -77,8 +78,34 @@ def collated_titles(spark, d):
     return ordered.select("lang", "source", "doc_id", "title", place(F.asc_nulls_last)("up"), place(F.desc_nulls_last)("down"))
 
 
+def _boxes(spark: SparkSession, d: str) -> DataFrame:
+    """A box for each word of the printed texts: 40 lines a page, five points a letter, uneven by place as scanned pages are."""
+    lines = _documents(spark, d).select("doc_id", F.posexplode(F.split(F.regexp_replace("text", struct.WIDTH, "$1\n"), "\n")).alias("i", "line"))
+    words = lines.select("doc_id", "i", F.posexplode(F.split("line", " ")).alias("w", "word"), "line")
+    before = F.length(F.array_join(F.slice(F.split("line", " "), 1, F.col("w")), " ")) + F.when(F.col("w") > 0, 1).otherwise(0)
+    placed = words.where("word <> ''").withColumn("x", 5.0 * before).withColumn("y", 14.0 * (F.col("i") % 40) + F.col("w") % 3)
+    return placed.select("doc_id", (F.floor(F.col("i") / 40) + 1).cast("int").alias("page"), (F.col("i") * 10000 + F.col("w")).alias("place"), "x", "y", (5.0 * F.length("word")).alias("width"), (10.0 + F.col("w") % 2).alias("height"))
+
+
+def points_in_tables(spark, d):
+    """Words within the ruled tables of each page (one a page, placed by document), with tolerance."""
+    boxes = _boxes(spark, d)
+    top = 14.0 * ((F.col("doc_id") + F.col("page")) % 30)
+    tables = boxes.select("doc_id", "page").distinct().select("doc_id", "page", F.lit(20.0).alias("x0"), top.alias("y0"), F.lit(230.0).alias("x1"), (top + 70.0).alias("y1"))
+    found = bx.inside(boxes.select("doc_id", "page", "place", "x", "y"), tables, ["doc_id", "page"])
+    return found.groupBy("doc_id", "page").agg(F.count("*").alias("n_inside"), F.sum("place").alias("places"))
+
+
+def box_lines(spark, d):
+    """Lines of each page by the height of their boxes, without headers and footers."""
+    boxes = _boxes(spark, d)
+    heights = boxes.select("doc_id", "page").distinct().withColumn("page_height", F.lit(560.0))
+    kept = bx.without_bands(boxes, heights, ["doc_id", "page"])
+    return bx.lines_of_boxes(kept, ["doc_id", "page"]).select("doc_id", "page", "line", "y", "x_from", "x_to", "height", "n")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (segmented_tokens, content_tokens_stopped, elementary_spans, running_header_removal, located_sentences, collated_titles)
+    f.__name__: f for f in (segmented_tokens, content_tokens_stopped, elementary_spans, running_header_removal, located_sentences, collated_titles, points_in_tables, box_lines)
 }
 
 _WORDS = r"list_filter(string_split_regex(regexp_replace(lower({x}), '[^\p{{L}}\p{{N}}\s]', ' ', 'g'), '\s+'), lambda w: w <> '')"
@@ -157,7 +184,19 @@ _KEY = "lower(title)"
 for _marked, _plain in (("áàãạảäå", "a"), ("ç", "c"), ("éèẽẹẻë", "e"), ("íìîïĩịỉ", "i"), ("ñ", "n"), ("óòõọỏö", "o"), ("úùûũụủü", "u"), ("ýÿ", "y"), ("ß", "ss"), ("œ", "oe"), ("æ", "ae")):
     _KEY = f"regexp_replace({_KEY}, '[{_marked}]', '{_plain}', 'g')"
 
+_BOXES = r"""
+WITH printed AS (SELECT doc_id, string_split(regexp_replace(text, '(.{60,80}?) ', '\1' || chr(10), 'g'), chr(10)) AS lines FROM documents WHERE text IS NOT NULL),
+line_t AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) - 1 AS i FROM printed),
+word_t AS (SELECT doc_id, i, string_split(line, ' ') AS words, unnest(string_split(line, ' ')) AS word, generate_subscripts(string_split(line, ' '), 1) - 1 AS w FROM line_t),
+box AS (SELECT doc_id, CAST(i // 40 + 1 AS INTEGER) AS page, i * 10000 + w AS place, 5.0 * (length(array_to_string(words[1:w], ' ')) + CASE WHEN w > 0 THEN 1 ELSE 0 END) AS x, 14.0 * (i % 40) + w % 3 AS y, i, w,
+  5.0 * length(word) AS width, 10.0 + w % 2 AS height FROM word_t WHERE word <> '')"""
+
 ORACLES: dict[str, str] = {
+    "points_in_tables": _BOXES + """ SELECT doc_id, page, count(*) AS n_inside, CAST(sum(place) AS BIGINT) AS places FROM (SELECT *, 14.0 * ((doc_id + page) % 30) AS top FROM box)
+WHERE x BETWEEN 18 AND 232 AND y BETWEEN top - 2 AND top + 72 GROUP BY doc_id, page""",
+    # lines are 14 apart and boxes within 3, so the boxes of a printed line are those of a line of boxes; lines that do come near are tested on made rows
+    "box_lines": _BOXES + """ SELECT doc_id, page, CAST(row_number() OVER (PARTITION BY doc_id, page ORDER BY i) - 1 AS INTEGER) AS line, y, x_from, x_to, height, n FROM
+(SELECT doc_id, page, i, arg_min(y, place) AS y, min(x) AS x_from, max(x + width) AS x_to, max(height) AS height, count(*) AS n FROM box WHERE y + height / 2 BETWEEN 28 AND 532 GROUP BY doc_id, page, i)""",
     "segmented_tokens": _SEGMENTED,
     "content_tokens_stopped": _STOPPED,
     "elementary_spans": overlap._with(overlap._INDEX + overlap._PATCH + _PIECES, "SELECT e.doc_id, a AS p_from, CAST(b - 1 AS INTEGER) AS p_to, source_doc FROM edge_t e JOIN marked_t m ON m.doc_id = e.doc_id AND m.lo <= a AND b <= m.hi"),
