@@ -20,6 +20,8 @@ from ..operators import statistics as stats
 from ..sources.storage import materialised
 
 CONFIG = EngineConfig()
+#: a side of a join up to this size goes to every task
+SENT_BYTES = 8 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -220,6 +222,9 @@ def containment_audit(spark, d):
     sizes = [r[0] for r in first.select(F.size(F.split("gram", " "))).distinct().collect()]  # five numbers at most
     docs = documents(spark, d).select("doc_id", tx.clean_text(F.col("text")).alias("body"))
     of_sizes = F.concat(*[tx.kgrams(F.split("body", " "), k) for k in sizes]) if sizes else F.array().cast("array<string>")
+    # what is looked for decides the way: sent to every task if its size is small, met in a shuffle if not
+    small = first.agg(F.coalesce(F.sum(F.octet_length("key") + F.octet_length("gram")), F.lit(0))).first()[0] <= SENT_BYTES
+    first = F.broadcast(first) if small else first
     grams = docs.select("doc_id", F.explode(F.array_distinct(of_sizes)).alias("gram"))
     hits = grams.join(first, "gram").join(docs, "doc_id").where(F.contains(F.concat(F.lit(" "), "body", F.lit(" ")), F.concat(F.lit(" "), "key", F.lit(" "))))
     return hits.select("doc_id", "item_id").distinct()
