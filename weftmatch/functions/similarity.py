@@ -21,13 +21,6 @@ def cosine(dot: Column, norm_a: Column, norm_b: Column) -> Column:
     return F.when((norm_a > 0) & (norm_b > 0), dot / (F.sqrt(norm_a) * F.sqrt(norm_b))).otherwise(F.lit(0.0))
 
 
-def map_cosine(a: Column, b: Column) -> Column:
-    """Cosine of two sparse vectors held as maps."""
-    dot = F.aggregate(F.map_keys(a), F.lit(0.0), lambda s, t: s + a[t] * F.coalesce(F.try_element_at(b, t), F.lit(0.0)))
-    norm = lambda m: F.aggregate(F.map_values(m), F.lit(0.0), lambda s, x: s + x * x)
-    return cosine(dot, norm(a), norm(b))
-
-
 def dice_bigrams(a: Column, b: Column) -> Column:
     """Dice similarity of the multisets of character pairs, white space removed."""
     plain = lambda t: F.regexp_replace(t, r"\s+", "")

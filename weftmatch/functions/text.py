@@ -12,6 +12,8 @@ ABBREVIATIONS = (
     "tp", "q", "p", "tt", "ts", "ths", "gs", "pgs", "kts", "bs", "mr", "mrs", "ms", "dr", "prof", "vs", "etc", "vd", "vv", "v.v",
     "nxb", "tr", "st", "no", "fig", "hcm", "ltd", "inc", "gmbh", "e.g", "i.e", "a.m", "p.m",
 )
+#: fixed values: the factor and modulus of the polynomial hash
+FACTOR = 31
 MODULUS = 1_000_000_007
 _CUT = "\x01"
 
@@ -36,11 +38,6 @@ def squeeze(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(plain, r"^[_*~=]+\s*", ""), r"\s*[_*~=]+$", ""))
 
 
-def strip_bullet(line: Column) -> Column:
-    """The line without leading bullet signs; a lone ``o`` counts only before an upper-case letter."""
-    return F.regexp_replace(line, r"^(?:\s*(?:[-+*•●○▪■◦–—»›]|o(?=\s*\p{Lu}))\s*)+", "")
-
-
 def words(text: Column) -> Column:
     """Tokens of the set and fingerprint algorithms: lower case, punctuation deleted (``_`` kept)."""
     return F.filter(F.split(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}\s_]", ""), r"\s+"), lambda x: x != "")
@@ -92,7 +89,7 @@ def split_sentences(paragraph: Column) -> Column:
 
 def poly_hash(text: Column) -> Column:
     """Sum of 31^i over the characters, modulo 1 000 000 007."""
-    step = lambda acc, c: (acc * 31 + F.when(c == "", 0).otherwise(F.ascii(c))) % MODULUS
+    step = lambda acc, c: (acc * FACTOR + F.when(c == "", 0).otherwise(F.ascii(c))) % MODULUS
     return F.aggregate(F.split(text, ""), F.lit(0).cast("long"), step)
 
 
@@ -109,8 +106,8 @@ def kgrams(tokens: Column, k: int = 3) -> Column:
 def kgram_hashes(tokens: Column, k: int = 3) -> Column:
     """``poly_hash`` of each k-gram. Each word is hashed once; hash(a + ' ' + b) = (hash(a) * 31 + 32) * 31^|b| + hash(b)."""
     zero = F.struct(F.lit(0).cast("long").alias("h"), F.lit(1).cast("long").alias("m"))
-    step = lambda a, c: F.struct(((a["h"] * 31 + F.ascii(c)) % MODULUS).alias("h"), ((a["m"] * 31) % MODULUS).alias("m"))
-    join = lambda a, b: F.struct(((((a["h"] * 31 + 32) % MODULUS) * b["m"] + b["h"]) % MODULUS).alias("h"), F.lit(1).cast("long").alias("m"))
+    step = lambda a, c: F.struct(((a["h"] * FACTOR + F.ascii(c)) % MODULUS).alias("h"), ((a["m"] * FACTOR) % MODULUS).alias("m"))
+    join = lambda a, b: F.struct(((((a["h"] * FACTOR + 32) % MODULUS) * b["m"] + b["h"]) % MODULUS).alias("h"), F.lit(1).cast("long").alias("m"))
     hashed = F.transform(tokens, lambda w: F.aggregate(F.split(w, ""), zero, step))
 
     def of(words_: Column) -> Column:
