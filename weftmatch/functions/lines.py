@@ -33,6 +33,8 @@ CHAPTER_WORDS = ("chương", "chuong", "phần", "phan", "chapter", "part")
 #: fixed values: words before a number that make a short line a sentence and no entry of a table of contents
 NUMBER_WORDS = ("là", "có", "gồm", "làm", "tới", "khoảng", "hơn", "dưới", "trên")
 CAPTION_WORDS = r"(hình(\s*ảnh)?|bảng|biểu\s*đồ|sơ\s*đồ|đồ\s*thị|figure|fig|table|image|picture)"
+#: fixed value: a caption with a sign after its number
+CAPTION_START = r"(?iu)^(hình(\s*ảnh)?|bảng|biểu\s*đồ|sơ\s*đồ|đồ\s*thị|figure|fig|table)\s*\d+(\s*[.,]\s*\d+)*\s*[.:–—-]\s"
 #: fixed values: labels of table cells, and key words that stand alone in listings
 TABLE_LABELS = (
     "stt", "tt", "tên cột", "kiểu dữ liệu", "mô tả", "ghi chú", "thời gian", "công việc", "kết quả đạt được", "hạn chế", "hướng phát triển", "tên viết tắt",

@@ -144,15 +144,17 @@ def fold_headings(flags: list[dict]) -> list[int]:
     return out
 
 
+def is_new_item(t: Column) -> Column:
+    """A caption with a sign after its number, or a numbered heading: never the rest of the line before."""
+    return t.rlike(ln.CAPTION_START) | (t.rlike(r"^\d+(\.\d+)+\.?\s+\p{Lu}\p{Ll}") & (F.length(t) <= 80) & ~t.rlike("[.!?;]$"))
+
+
 def _sentence_flags(lines: Column) -> Column:
     def of(t: Column, x: Column) -> Column:
-        opens = t.rlike(r"(?iu)^(hình(\s*ảnh)?|bảng|biểu\s*đồ|sơ\s*đồ|đồ\s*thị|figure|fig|table)\s*\d+(\s*[.,]\s*\d+)*\s*[.:–—-]\s") | (
-            t.rlike(r"^\d+(\.\d+)+\.?\s+\p{Lu}\p{Ll}") & (F.length(t) <= 80) & ~t.rlike("[.!?;]$")
-        )
         heading = ln.is_heading(x) | (F.coalesce(ln.label_of(t), F.lit("")) == ln.HEADING)
         return F.struct(
             F.length(t).alias("size"), t.rlike("[.!?:;]$").alias("closed"), t.rlike(r"^\p{Ll}").alias("small"),
-            (heading | t.rlike(ln.BULLET) | ln.is_contents_line(x) | opens).alias("apart"),
+            (heading | t.rlike(ln.BULLET) | ln.is_contents_line(x) | is_new_item(t)).alias("apart"),
         )
 
     return F.zip_with(F.transform(lines, lambda x: F.trim(x)), _normal(lines), of)

@@ -6,13 +6,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import boxes as bx
 from ..operators import headers as hd
 from ..operators import locating as lo
+from ..operators import paragraphs as pg
 from ..operators import segmentation as sg
 from ..operators import spans as sp
 from . import overlap
@@ -104,8 +105,30 @@ def box_lines(spark, d):
     return bx.lines_of_boxes(kept, ["doc_id", "page"]).select("doc_id", "page", "line", "y", "x_from", "x_to", "height", "n")
 
 
+def layout_paragraphs(spark, d):
+    """Paragraphs of printed pages: each line of a text is a paragraph, broken to a page's width with its first line indented, 40 lines a page
+    under a header; what is rebuilt is compared with the text."""
+    docs = _documents(spark, d).where("text IS NOT NULL").select("doc_id", F.split("text", "\n").alias("own"))
+    broken = F.flatten(F.transform("own", lambda p: F.transform(F.split(F.regexp_replace(F.trim(p), struct.WIDTH, "$1\n"), "\n"), lambda t, k: F.struct(t.alias("text"), (k == 0).alias("first")))))
+    lines = docs.withColumn("b", F.filter(broken, lambda r: r["text"] != ""))
+    height = 14.0 * 44
+    x0 = lambda r: F.when(r["first"], 92.0).otherwise(72.0)
+    # set in full width: a line that is broken ends at the right edge
+    def placed(r: Column, i: Column) -> Column:
+        goes_on = ~F.coalesce(F.get(F.col("b"), i + 1)["first"], F.lit(True))
+        x1 = F.when(goes_on, 472.0).otherwise(F.least(F.lit(472.0), x0(r) + 5.0 * F.length(r["text"])))
+        return F.struct((F.floor(i / 40) + 1).cast("int").alias("page"), F.lit(height).alias("page_height"), (height - 14.0 * 2 - 14.0 * (i % 40)).alias("y"), x0(r).alias("x0"), x1.alias("x1"), r["text"].alias("text"), F.lit(False).alias("in_table"))
+
+    head = lambda i: F.struct((F.floor(i / 40) + 1).cast("int").alias("page"), F.lit(height).alias("page_height"), F.lit(height - 5.0).alias("y"), F.lit(72.0).alias("x0"), F.lit(172.0).alias("x1"), F.concat(F.lit("page head "), (F.floor(i / 40) + 1).cast("string")).alias("text"), F.lit(False).alias("in_table"))
+    pages = lines.withColumn("lines", F.flatten(F.transform("b", lambda r, i: F.when(i % 40 == 0, F.array(head(i), placed(r, i))).otherwise(F.array(placed(r, i))))))
+    found = pg.rebuilt(pages.select("doc_id", "lines"), "lines")
+    heads = F.filter("paragraphs", lambda t: t.rlike("^page head [0-9]+$"))
+    rest = F.filter("paragraphs", lambda t: ~t.rlike("^page head [0-9]+$"))
+    return found.select("doc_id", F.size(heads).alias("n_heads"), F.size(rest).alias("n_paragraphs"), F.md5(F.array_join(rest, "\n")).alias("text_md5"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (segmented_tokens, content_tokens_stopped, elementary_spans, running_header_removal, located_sentences, collated_titles, points_in_tables, box_lines)
+    f.__name__: f for f in (segmented_tokens, content_tokens_stopped, elementary_spans, running_header_removal, located_sentences, collated_titles, points_in_tables, box_lines, layout_paragraphs)
 }
 
 _WORDS = r"list_filter(string_split_regex(regexp_replace(lower({x}), '[^\p{{L}}\p{{N}}\s]', ' ', 'g'), '\s+'), lambda w: w <> '')"
