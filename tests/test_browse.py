@@ -1,11 +1,14 @@
 """Searches, marks, selections and rankings against their SQL, and functions on made values."""
 
+from xml.etree import ElementTree
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from weftmatch.functions import text as tx
 from weftmatch.plans import browse
+from weftmatch.sources import folders
 
 SF = "/root/testdata/sf0.001"
 SLOW = {"top3_sources", "exact_match_classes"}
@@ -22,6 +25,24 @@ def test_query_gives_the_rows_of_its_sql(spark, name):
     assert tidy(browse.QUERIES[name](spark, SF).select(*names).collect()) == tidy(want.fetchall())
 
 
+def test_workbooks_hold_every_account_once(spark):
+    text = "".join(r.value for r in browse.accounts_workbook(spark, SF).collect())
+    book = ElementTree.fromstring(text.split("?>", 1)[1])
+    ns = "{urn:schemas-microsoft-com:office:spreadsheet}"
+    ids = [r.find(f"{ns}Cell/{ns}Data").text for sheet in book.iter(f"{ns}Worksheet") for r in list(sheet.iter(f"{ns}Row"))[1:]]
+    n = spark.read.parquet(f"{SF}/customer.parquet").select("c_custkey").union(spark.read.parquet(f"{SF}/supplier.parquet").select("s_suppkey")).distinct().count()
+    assert len(ids) == len(set(ids)) == n
+    assert sum(r.value.startswith("<Row>") for r in browse.ratings_workbook(spark, SF).collect()) == 7 + spark.read.parquet(f"{SF}/events.parquet").where("event_type = 'click'").count()
+
+
+def test_folders_of_reports(spark, tmp_path):
+    for where, data in (("Đồ án/Bài một.txt", "\ufeffnội dung\n"), ("Đồ án/a+b.TXT", "x"), ("Khoá luận/hai.pdf", "%PDF"), ("gốc.md", "m"), ("Khoá luận/bỏ.exe", "z"), ("_ẩn/không.txt", "n")):
+        (tmp_path / where).parent.mkdir(exist_ok=True)
+        (tmp_path / where).write_text(data, encoding="utf-8")
+    got = sorted((r.kind or "", r.title, r.ending, r.text) for r in folders.scan(spark, f"file://{tmp_path}").collect())
+    assert [g for g in got if g[1] != "không"] == [("", "gốc", "md", "m"), ("Khoá luận", "hai", "pdf", None), ("Đồ án", "Bài một", "txt", "nội dung\n"), ("Đồ án", "a+b", "txt", "x")]
+
+
 def test_each_equal_sentence_is_one_row(spark):
     rows = browse.exact_match_classes(spark, SF).collect()
     pairs = browse.overlap.exact_match_pairs(spark, SF).count()

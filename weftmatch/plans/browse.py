@@ -15,6 +15,7 @@ from ..operators import matching as m
 from ..operators import regions as rg
 from ..operators import statistics as stats
 from ..sources.lines import text_lines
+from ..sources.storage import workbook
 from . import layout, overlap, records
 from . import structure as struct
 from .records import _table
@@ -111,9 +112,44 @@ def compared_lines(spark, d):
     return rg.with_regions(docs).select("doc_id", n("cover"), n("skipped"), n("body"), F.size("compared").alias("n_compared"), words.alias("n_words"))
 
 
+def _ratings(spark, d):
+    return _table(spark, d, "events").where("event_type = 'click'").select("event_id", "user_id", "ts", (F.col("event_id") % 5 + 1).cast("int").alias("stars"))
+
+
+def rating_shares(spark, d):
+    """How many ratings have five to one stars, none left out, and their share in percent with one decimal."""
+    n = _ratings(spark, d).groupBy("stars").agg(F.count("*").alias("n"))
+    every = spark.range(1, 6).select(F.col("id").cast("int").alias("stars")).join(F.broadcast(n), "stars", "left").fillna(0, ["n"])
+    return every.select("stars", "n", records.percent_text(100.0 * F.col("n") / F.nullif(F.sum("n").over(Window.partitionBy()), F.lit(0))).alias("shown"))
+
+
+def rating_means(spark, d):
+    """Mean stars of each reviewer with one decimal, and how many ratings they gave; sums are whole numbers."""
+    sums = _ratings(spark, d).groupBy("user_id").agg(F.sum("stars").alias("s"), F.count("*").alias("n"))
+    return sums.select("user_id", "n", F.expr("(10 * s + n div 2) div n").alias("tenths"), F.format_string("%.1f", F.expr("(10 * s + n div 2) div n") / 10).alias("shown"))
+
+
+def ratings_workbook(spark, d):
+    """Lines of a workbook: the list of ratings and their distribution."""
+    listed = _ratings(spark, d).select("event_id", "user_id", F.date_format("ts", "dd/MM/yyyy HH:mm").alias("at"), "stars")
+    return workbook([("Ratings", listed, ["event_id"]), ("Distribution", rating_shares(spark, d).withColumn("less", -F.col("stars")).select("less", "stars", "n", "shown"), ["less"])])
+
+
+def accounts_workbook(spark, d):
+    """Lines of a workbook with a sheet for students, teachers and those who are both, and how many reports each has."""
+    n = _table(spark, d, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.count("*").alias("n_reports"))
+    students = _table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
+    teachers = _table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("teacher"))
+    all_ = students.join(teachers, "id", "full").join(n, "id", "left").fillna(0, ["n_reports"])
+    return workbook([
+        ("Students", all_.where("teacher IS NULL").select("id", "name", "n_reports"), ["id"]), ("Teachers", all_.where("name IS NULL").select("id", "teacher", "n_reports"), ["id"]),
+        ("Both", all_.where("name IS NOT NULL AND teacher IS NOT NULL").select("id", "name", "teacher", "n_reports"), ["id"]),
+    ])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (code_search, report_search, keyword_marks, page_admission, page_selection, line_lengths, top3_sources, exact_match_classes, audit_totals, text_pair_winnowing, compared_lines)
+    for f in (code_search, report_search, keyword_marks, page_admission, page_selection, line_lengths, top3_sources, exact_match_classes, audit_totals, text_pair_winnowing, compared_lines, rating_shares, rating_means, ratings_workbook, accounts_workbook)
 }
 
 _FILE = f"({records.ORACLES['file_names']})"
@@ -158,5 +194,9 @@ SELECT doc_id, CAST(s[CAST(floor(0.5 * (len(s) - 1)) AS BIGINT) + 1] AS INTEGER)
 FROM (SELECT doc_id, source_doc, coverage_pct, row_number() OVER (PARTITION BY doc_id ORDER BY coverage_pct DESC, source_doc) AS place FROM sfull) r LEFT JOIN documents d ON d.doc_id = source_doc WHERE place <= 3"""),
     "exact_match_classes": overlap._with(overlap._INDEX + overlap._EXACT, """SELECT a.sentence_hash, CAST(na AS BIGINT) AS n_submission, da AS n_submissions, nb AS n_sample, db AS n_samples, CAST(na * nb AS BIGINT) AS n_pairs
 FROM (SELECT sentence_hash, count(*) AS na, count(DISTINCT doc_id) AS da FROM sub GROUP BY 1) a JOIN (SELECT sentence_hash, count(*) AS nb, count(DISTINCT doc_id) AS db FROM sam GROUP BY 1) b USING (sentence_hash)"""),
+    "rating_shares": r"""WITH r AS (SELECT 1 + event_id % 5 AS stars FROM events WHERE event_type = 'click'), n AS (SELECT CAST(b.stars AS INTEGER) AS stars, count(r.stars) AS n FROM (VALUES (1), (2), (3), (4), (5)) b(stars) LEFT JOIN r ON r.stars = b.stars GROUP BY b.stars)
+SELECT stars, n, CASE WHEN (SELECT count(*) FROM r) = 0 THEN '0%' ELSE regexp_replace(printf('%.1f', floor(1000.0 * n / (SELECT count(*) FROM r) + 0.5) / 10), '\.0$', '') || '%' END AS shown FROM n""",
+    "rating_means": """WITH r AS (SELECT user_id, count(*) AS n, (10 * sum(1 + event_id % 5) + count(*) // 2) // count(*) AS tenths FROM events WHERE event_type = 'click' GROUP BY user_id)
+SELECT user_id, n, CAST(tenths AS BIGINT) AS tenths, printf('%.1f', tenths / 10.0) AS shown FROM r""",
     "text_pair_winnowing": f"WITH {_GRAMS5} SELECT a.doc_id, CAST(len(a.fp) AS INTEGER) AS n, round(CASE WHEN len(list_distinct(list_concat(a.fp, b.fp))) = 0 THEN 0.0 ELSE len(list_intersect(a.fp, b.fp)) / CAST(len(list_distinct(list_concat(a.fp, b.fp))) AS DOUBLE) END, 6) AS similarity FROM print_t a JOIN print_t b ON b.doc_id = a.doc_id + 1",
 }

@@ -224,6 +224,24 @@ whole AS (SELECT id, line_no, string_agg(t, ' ' ORDER BY k) AS line FROM fold GR
 SELECT id AS doc_id, CAST(len(lines) AS INTEGER) AS n_broken, CAST(line_no AS INTEGER) AS line_no, md5(line) AS line_md5, CAST(length(line) AS INTEGER) AS n_chars
 FROM whole JOIN broken USING (id)
 """
+#: tidy lines without side parts, then headings joined: the state is how many lines the open heading has taken
+_PREPARED = rf""",
+tidy AS (SELECT kind, id, list_filter(list_transform(lines, lambda x: trim(regexp_replace(replace(x, chr(9), ' '), ' {{2,}}', ' ', 'g'))), lambda x: NOT regexp_matches(x, '^\x01(CT|BG|HVB)\x02')) AS lines FROM arrays),
+part AS (SELECT kind, id, n, t, x, t = '' AS empty, regexp_matches(t, '^[0-9]{{1,4}}$') AS page, {_contents('x')} AS toc, regexp_replace(x, '[^\p{{L}}]', '', 'g') AS letters,
+    {_heading('x')} OR starts_with(t, chr(1) || 'TD' || chr(2)) AS heading, {_hit('x', r'(?i)^(CHƯƠNG|CHUONG|PHẦN|PHAN|CHAPTER|PART)\s*[:\-–]?\s*(\d+|[IVXLCDM]+)\s*[:.\-–]?$')} AS unnamed
+  FROM (SELECT kind, id, n, trim(line) AS t, {_SQUEEZED.format(x=_UNLABELLED.format(x='line'))} AS x FROM (SELECT kind, id, unnest(lines) AS line, generate_subscripts(lines, 1) AS n FROM tidy))),
+piece AS (SELECT *, NOT toc AND x <> '' AND length(x) <= 100 AND NOT regexp_matches(x, '[.!?;,]$') AND letters <> '' AND (letters = upper(letters) OR regexp_matches(x, '^\p{{Lu}}')) AS fits,
+    length(letters) >= 3 AND 10 * length(regexp_replace(letters, '\p{{Ll}}', '', 'g')) >= 9 * length(letters) AS capitals FROM part),
+head AS (
+  SELECT kind, id, 0::BIGINT AS n, CAST(NULL AS INTEGER) AS taken, 'gone' AS what FROM tidy
+  UNION ALL
+  SELECT h.kind, h.id, p.n, CASE w.what WHEN 'gone' THEN CASE WHEN h.taken < 3 AND p.page THEN h.taken END WHEN 'more' THEN h.taken + 1 ELSE CASE WHEN p.heading AND NOT p.toc AND p.unnamed THEN 0 END END, w.what
+  FROM head h JOIN piece p ON p.kind = h.kind AND p.id = h.id AND p.n = h.n + 1,
+  LATERAL (SELECT CASE WHEN h.taken < 3 AND p.page THEN 'gone' WHEN h.taken < 3 AND p.fits AND (h.taken = 0 OR p.capitals) THEN 'more' WHEN p.empty THEN 'gone' ELSE 'new' END AS what) w
+),
+numbered AS (SELECT h.kind, h.id, p.n, p.t, count_if(h.what = 'new') OVER (PARTITION BY h.kind, h.id ORDER BY p.n) AS k FROM head h JOIN piece p USING (kind, id, n) WHERE h.what <> 'gone'),
+whole AS (SELECT kind, id, k, string_agg(t, ' ' ORDER BY n) AS line FROM numbered GROUP BY kind, id, k),
+joined_a AS (SELECT kind, id, coalesce((SELECT list(line ORDER BY k) FROM whole w WHERE w.kind = tidy.kind AND w.id = tidy.id), []) AS lines FROM tidy)"""
 _KEY = r"regexp_replace(regexp_replace(regexp_replace(t, '[.·…]{2,}\s*\d*\s*$', ''), '\s+\d{1,3}\s*$', ''), '[\s:.\-–)]+$', '')"
 
 ORACLES: dict[str, str] = {
@@ -234,4 +252,8 @@ SELECT kind, id, CAST(line_no AS INTEGER) AS line_no, coalesce(nullif(regexp_rep
 FROM kept WHERE class IN ('heading', 'contents', 'sub_heading')""",
     "region_lines": _LINES + _regions("arrays") + f" SELECT kind, id, CAST(line_no AS INTEGER) AS line_no, region, {_COMPARED} AS is_compared FROM placed JOIN marks USING (kind, id)",
     "joined_lines": _WRAPPED + _JOIN,
+    "prepared_content": _LINES + _PREPARED + _regions("joined_a") + f""",
+kept_l AS (SELECT kind, id, line_no AS spot FROM placed JOIN marks USING (kind, id) WHERE {_COMPARED}),
+said AS (SELECT kind, id, count(*) AS n, string_agg(line, chr(10) ORDER BY spot) AS text FROM kept_l JOIN (SELECT kind, id, unnest(lines) AS line, generate_subscripts(lines, 1) AS spot FROM joined_a) l USING (kind, id, spot) GROUP BY kind, id)
+SELECT tidy.kind, tidy.id, CAST(coalesce(n, 0) AS INTEGER) AS n_lines, md5(coalesce(text, '')) AS content_md5 FROM tidy LEFT JOIN said ON said.kind = tidy.kind AND said.id = tidy.id""",
 }
