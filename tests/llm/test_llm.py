@@ -344,6 +344,24 @@ def test_recall_of_near_lines(spark):
     assert len(pairs) > 20 and sum(x in left and y in left for x, y in pairs) <= 0.1 * len(pairs)
 
 
+@pytest.mark.parametrize("front", [9, 12, 14])
+def test_near_lines_with_a_front_that_all_share(spark, front):
+    """Pairs of lines of 20 words that differ in one word, behind words that all 600 lines begin with."""
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdefghijklmnoprstuvw") for _ in range(rng.randint(3, 9))) for _ in range(3000)]
+    common, rows = rng.sample(words, front), []
+    for i in range(300):
+        rest = rng.sample(words, 20 - front)
+        near = list(rest)
+        near[rng.randrange(len(near))] = rng.choice(words)
+        rows += [(2 * i, " ".join(common + rest)), (2 * i + 1, " ".join(common + near))]
+    rng.shuffle(rows)
+    text = dict(rows)
+    near = [i for i in range(300) if _similar_lines(text[2 * i], text[2 * i + 1])]
+    gone = {r.doc_id for r in line_dedup.removed_lines(spark.createDataFrame(rows, "doc_id long, text string"), line_dedup.FULL).collect()}
+    assert len(near) > 250 and sum(2 * i in gone or 2 * i + 1 in gone for i in near) >= 0.9 * len(near)
+
+
 def test_line_dedup_of_odd_rows(docs, nothing):
     out = line_dedup.dedup_lines(docs)
     got = {r.doc_id: r.text for r in out.collect()}
