@@ -89,24 +89,34 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), listed)
 
 
-OP10_SQL = """
+def _decoded_sql(part: str) -> str:
+    """SQL of the canonical percent codes of a host or path."""
+    return (
+        f"array_to_string(list_transform(string_split({part}, '%'), lambda s, i: CASE WHEN i = 1 THEN s WHEN regexp_matches(s, '{url_filter.UNRESERVED}') THEN chr(('0x' || s[1:2])::INT) || substr(s, 3)"
+        " WHEN regexp_matches(s, '^[0-9A-Fa-f]{{2}}') THEN '%' || upper(s[1:2]) || substr(s, 3) ELSE '%' || s END), '')"
+    )
+
+
+OP10_SQL = ("""
 WITH rules(h, p, v) AS (VALUES {rules}), sites(s) AS (VALUES {sites}),
-u AS (
+as_is AS (
   SELECT page_id, row_number() OVER () AS row_no,
     CASE WHEN position('://' IN coalesce(url, '')) > 0 THEN translate(regexp_extract(substr(url, position('://' IN url) + 3), '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END AS host,
     CASE WHEN position('://' IN coalesce(url, '')) > 0 THEN regexp_extract(substr(url, position('://' IN url) + 3), '^[^/?#]*([^?#]*)', 1) ELSE '' END AS path
   FROM pages
 ),
+bare AS (SELECT *, regexp_replace(regexp_replace(host, '(?s)^.*@', ''), ':[0-9]*$', '') AS b FROM as_is),
+u AS (SELECT *, regexp_replace(lower(""" + _decoded_sql("b") + """), '\\.+$', '') AS site FROM bare),
 hit AS (
   SELECT row_no, h || p AS rule, v, row_number() OVER (PARTITION BY row_no ORDER BY length(h || p) DESC, length(h) DESC) AS k
   FROM u JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)
 )
 SELECT u.page_id, u.host, u.path, hit.rule,
   CASE WHEN hit.v IS NOT NULL THEN hit.v
-       WHEN starts_with(u.path, '/') AND EXISTS (SELECT 1 FROM sites WHERE u.host = s OR ends_with(u.host, '.' || s)) THEN 'block'
+       WHEN EXISTS (SELECT 1 FROM sites WHERE u.site = s OR ends_with(u.site, '.' || s)) THEN 'block'
        ELSE 'allow' END AS verdict
 FROM u LEFT JOIN hit ON u.row_no = hit.row_no AND hit.k = 1
-""".format(rules=", ".join(str(r) for r in URL_RULES), sites=", ".join(f"('{s}.{d}')" for s in URL_SITES for d in URL_DOMAINS))
+""").format(rules=", ".join(str(r) for r in URL_RULES), sites=", ".join(f"('{s}.{d}')" for s in URL_SITES for d in URL_DOMAINS))
 
 
 def with_periods(docs: DataFrame) -> DataFrame:
