@@ -42,6 +42,8 @@ from . import textnum
 #: parts that a worker keeps solved, and parts that it keeps the lattice of
 CACHE, LATTICES = 400_000, 20_000
 _NONE = -math.inf
+#: where no piece begins
+_NOWHERE: tuple[float | None, dict] = (None, {})
 #: stands for a ``▁`` of the text itself, which is written in bytes; no text holds half a surrogate pair
 _MARK = "\udcff"
 
@@ -66,6 +68,12 @@ class Model:
         #: a score for pieces, None for what only begins one
         self.begins: dict[str, float | None] = {p[:k]: None for p in self.score for k in range(1, len(p))}
         self.begins.update(self.score)
+        #: the same as a tree: character -> (score or None, what goes on from there)
+        self.tree: dict[str, tuple[float | None, dict]] = {}
+        inner = {"": self.tree}
+        for begin in sorted(self.begins, key=len):
+            inner[begin] = {}
+            inner[begin[:-1]][begin[-1]] = (self.begins[begin], inner[begin])
         self._cuts()
         self.bytes_of = [b""] * size
         for piece, i in self.id.items():
@@ -113,17 +121,15 @@ class Model:
 
     def solve(self, part: str) -> int:
         """Forward Viterbi: the place of the part's best segmentation and second best score, behind all others."""
-        n, get, ids_of = len(part), self.begins.get, self.id.get
+        n, first, ids_of = len(part), self.tree.get, self.id.get
         best, second, back = [_NONE] * (n + 1), [_NONE] * (n + 1), [0] * (n + 1)
         best[0] = 0.0
         for i in range(n):
             one, two = best[i], second[i]
-            s = get(part[i], _NONE)
+            s, on = first(part[i], _NOWHERE)
+            if s is None:
+                s = self.byte_score * len(part[i].replace(_MARK, "▁").encode())
             j = i + 1
-            if s is None or s == _NONE:
-                open_, s = s is None, self.byte_score * len(part[i].replace(_MARK, "▁").encode())
-            else:
-                open_ = True
             while True:
                 if s is not None:
                     a = one + s
@@ -133,12 +139,10 @@ class Model:
                         best[j], back[j] = a, i
                     elif a > second[j]:
                         second[j] = a
-                j += 1
-                if not open_ or j > n:
-                    break
-                s = get(part[i:j], _NONE)
-                if s == _NONE:
+                if j == n or not on or (step := on.get(part[j])) is None:
                     break
+                s, on = step
+                j += 1
         ids, at = [], n
         while at:
             piece = part[back[at] : at]
