@@ -71,3 +71,15 @@ def test_latest_row_of_a_key(spark):
 @pytest.mark.parametrize("x, want", [(None, "0%"), (3.0, "3%"), (50.95, "51%"), (2.99, "3%"), (12.34, "12.3%"), (0.05, "0.1%"), (100.0, "100%")])
 def test_percent_text(spark, x, want):
     assert spark.range(1).select(records.percent_text(F.lit(x).cast("double"))).first()[0] == want
+
+
+def test_outlined_lines_with_sharp_s_equal_their_sql(spark, tmp_path):
+    """The SQL's capital of ß is one letter: three letters make no heading, and the rest of a mark keeps it."""
+    docs = spark.createDataFrame([(1, "a\nb\nc\naa ß\ne\nf\ng\nh\ni\nÖ. ein Maß"), (2, None)], "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    for name in ("heading_form", "numbering_split"):
+        want = con.execute(records.ORACLES[name])
+        names = [c[0] for c in want.description]
+        assert sorted(records.QUERIES[name](spark, str(tmp_path)).select(*names).collect()) == sorted(want.fetchall())
