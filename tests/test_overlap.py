@@ -1,6 +1,7 @@
 """The engine's queries against DuckDB on the smallest tables, and operators on made rows."""
 
 import itertools
+import random
 from pathlib import Path
 
 import duckdb
@@ -11,10 +12,11 @@ import __spark_entry__
 from weftmatch.config import EngineConfig, resolve_threshold
 from weftmatch.functions import similarity as sim
 from weftmatch.functions import text as tx
+from weftmatch.operators import matching as m
 from weftmatch.operators import sentences as st
 from weftmatch.operators import sequences as sq
 from weftmatch.operators import statistics as stats
-from weftmatch.plans import overlap
+from weftmatch.plans import overlap, records
 
 SF = "/root/testdata/sf0.001"
 TABLES = sorted(p.name.removesuffix(".parquet") for p in Path(SF).iterdir())
@@ -143,3 +145,65 @@ def test_paragraph_numbers_of_four_digits(spark):
     df = spark.createDataFrame([(1, "\n".join(["Some words stand here."] * 1001), False)], "doc_id long, text string, is_sample boolean")
     got = [r.paragraph_id for r in st.sentences(df).orderBy("idx").collect()]
     assert got == [f"DOAN_{i:03}" for i in range(1, 1002)]
+
+
+def _made_index(spark, seed):
+    """Submissions and samples of very few texts, often repeated, and near matches of the texts that no sample has."""
+    rng, rows, near = random.Random(seed), [], []
+    for doc in range(14):
+        is_sample = doc >= 5
+        paragraph = 1
+        for idx in range(1, rng.randint(2, 16)):
+            paragraph += rng.random() < 0.2
+            text = rng.choice("abc" if is_sample else "abcXY")
+            rows.append((doc, is_sample, idx, f"P{paragraph}", text, 3, text))
+    for doc, is_sample, idx, _, text, _, _ in rows:
+        if not is_sample and text in "XY":
+            near += [(doc, idx, r[0], r[2], s, s, s, s) for r in rows if r[1] and rng.random() < 0.3 for s in [rng.choice([0.6, 0.75])]]
+    index = spark.createDataFrame(rows, "doc_id long, is_sample boolean, idx int, paragraph_id string, sentence_hash string, token_count int, content string")
+    return index, spark.createDataFrame(near, "doc_id long, idx int, source_doc long, source_idx int, similarity double, cosine double, winnowing double, jaccard double")
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_passages_and_patchworks_of_copies_equal_those_of_all_matches(spark, seed):
+    index, near = _made_index(spark, seed)
+    every, rows = m.with_texts(index, m.all_matches(index, near)), m.matched(index, near)
+    tidy = lambda df: sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in df.collect())
+    names = ["doc_id", "source_doc", *sq.PASSAGE]
+    islands = sq.passage_islands_of_copies(rows, near, index)
+    want = tidy(sq.passage_islands(every).select(*names))
+    assert want and tidy(islands.select(*names)) == want
+    # a few passages only are taken as covered, so that runs are left for patchworks
+    inside = sq.covered(sq.best_islands(islands).where("n >= 4"))
+    runs = sq.patchwork_runs(rows, inside)
+    patched = [tuple(r) for r in sq.patchworks(every, inside).collect()]
+    assert patched and sorted(patched) == sorted(tuple(r) for r in sq.best_patchworks(sq.patchwork_islands(m.matches_of(index, near, runs), runs)).collect())
+    assert tidy(rows.select("doc_id", "idx")) == tidy(every.select("doc_id", "idx").distinct())
+
+
+def _texts_of_copies(spark, tmp_path, copies):
+    """Two sentences that are near copies of each other, alone in many submissions and many samples; other texts give the words weight."""
+    words = ["granite", "river", "window", "carpet", "lantern", "meadow", "copper", "violin", "harbor", "saddle", "timber", "orchid", "basalt", "pepper"]
+    a, b = " ".join(words).capitalize() + ".", " ".join([*words[:-1], "ginger"]).capitalize() + "."
+    rows = [(i, a, "src0") for i in range(copies)] + [(1000 + i, b, "src5") for i in range(copies)] + [(2000 + i, f"Nothing here is{chr(97 + i)} alike.", "src5") for i in range(20 + copies)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    return str(tmp_path)
+
+
+def test_copies_are_compared_once_and_given_all(spark, tmp_path):
+    sf = _texts_of_copies(spark, tmp_path, 9)
+    assert overlap._pairs(spark, sf).count() == 1
+    for name in ("candidate_pairs", "candidate_min_overlap", "jaccard_pairs", "winnowing_pairs", "cosine_pairs", "sentence_matches"):
+        con = duckdb.connect()
+        con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet/*.parquet'")
+        mine, theirs = overlap.QUERIES[name](spark, sf).toPandas(), con.execute(overlap.ORACLES[name]).df()
+        assert len(mine) == 81 and _rows(mine) == _rows(theirs)
+
+
+def test_a_sentence_of_many_documents_makes_no_pairs_for_passages(spark, tmp_path):
+    """Exact matches of lone sentences are as many as pairs of copies; passages are found, and stored, without them."""
+    rows = [(i, "One common line of text.", "src0") for i in range(60)] + [(1000 + i, "One common line of text.", "src5") for i in range(60)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    found, passages, patched = overlap._spans(spark, str(tmp_path))
+    assert (found.count(), passages.count(), patched.count()) == (60, 0, 0)
+    assert {r.pages for r in records.page_ranges(spark, str(tmp_path)).collect()} == {"1"}
