@@ -207,3 +207,10 @@ def test_a_sentence_of_many_documents_makes_no_pairs_for_passages(spark, tmp_pat
     found, passages, patched = overlap._spans(spark, str(tmp_path))
     assert (found.count(), passages.count(), patched.count()) == (60, 0, 0)
     assert {r.pages for r in records.page_ranges(spark, str(tmp_path)).collect()} == {"1"}
+
+
+def test_totals_read_the_matched_sentences_given(spark):
+    """The rows of matched sentences are used as they are: no pair is needed for them."""
+    index, near = _made_index(spark, 1)
+    every = m.all_matches(index, near)
+    assert sorted(stats.report_stats(index, every, m.matched(index, near)).collect()) == sorted(stats.report_stats(index, every).collect())
