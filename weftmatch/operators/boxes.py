@@ -46,7 +46,8 @@ def fold_lines(boxes: list[dict]) -> list[int]:
 
 
 def _line_numbers(rows: pa.Array) -> pa.Array:
-    return pa.array([None if r is None else fold_lines(r) for r in rows.to_pylist()], pa.list_(pa.int32()))
+    # a page at a time: the boxes of a whole batch as Python objects take gigabytes
+    return pa.array((None if not r.is_valid else fold_lines(r.as_py()) for r in rows), pa.list_(pa.int32()), size=len(rows))
 
 
 def lines_of_boxes(boxes: DataFrame, keys: list[str]) -> DataFrame:
@@ -55,7 +56,7 @@ def lines_of_boxes(boxes: DataFrame, keys: list[str]) -> DataFrame:
     The boxes of one page come together; boxes without width are left out."""
     number = F.arrow_udf(_line_numbers, T.ArrayType(T.IntegerType()))
     pages = boxes.where("width > 0").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("place", "x", "y", "width", "height"))).alias("boxes"))
-    told = pages.withColumn("lines", number("boxes")).select(*keys, F.explode(F.arrays_zip("boxes", "lines")).alias("b"))
+    told = pages.withColumn("lines", number(F.transform("boxes", lambda b: F.struct(b["y"].alias("y"), b["height"].alias("height"))))).select(*keys, F.explode(F.arrays_zip("boxes", "lines")).alias("b"))
     row = told.select(*keys, F.col("b.lines").alias("line"), "b.boxes.*")
     return row.groupBy(*keys, "line").agg(
         F.min_by("y", "place").alias("y"), F.min("x").alias("x_from"), F.max(F.col("x") + F.col("width")).alias("x_to"), F.max("height").alias("height"), F.count("*").alias("n"),
