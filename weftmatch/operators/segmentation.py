@@ -6,10 +6,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text as tx
+
 #: fixed value: words of the longest phrase
 MOST_WORDS = 4
 #: a dictionary up to this size is sent to every task; a larger one is joined
 SENT_BYTES = 16 << 20
+#: stands between words and is in none
+_PARTS = "\x01"
 
 
 def word_list(spark: SparkSession, path: str) -> DataFrame:
@@ -33,9 +37,17 @@ def phrases(words: Column) -> Column:
 
 
 def learnt_phrases(docs: DataFrame, lines: Column, least: int) -> DataFrame:
-    """phrase: runs of words within a line that ``least`` or more rows of ``docs`` hold. A row counts its own runs once, before the shuffle."""
-    own = F.array_distinct(F.flatten(F.transform(lines, lambda x: phrases(plain_words(x)))))
-    return docs.select(F.explode(own).alias("phrase")).groupBy("phrase").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("phrase")
+    """phrase: runs of words within a line that ``least`` or more rows of ``docs`` hold. A row counts its own runs once, before the shuffle.
+
+    Every word of such a run stands in ``least`` rows too, so runs are made between other words only. There are at most as many of these
+    words as all rows together have different ones, divided by ``least``."""
+    worded = docs.select(F.transform(lines, lambda x: plain_words(x)).alias("worded_"))
+    counted = worded.select(F.explode(F.array_distinct(F.flatten("worded_"))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    often = [r[0] for r in counted.where(F.col("n") >= least).select("word").collect()]
+    # other words part a line
+    parts = lambda words: F.split(F.array_join(F.transform(words, lambda w: F.when(w.isin(often), w).otherwise(_PARTS)), " "), f" ?{_PARTS} ?")
+    own = F.array_distinct(F.flatten(F.transform(F.flatten(F.transform("worded_", parts)), lambda part: tx.let(F.split(part, " "), phrases))))
+    return worded.select(F.explode(own).alias("phrase")).groupBy("phrase").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("phrase")
 
 
 def cover(words: list[str], known) -> list[str]:
