@@ -39,7 +39,7 @@ def _normal(lines: Column) -> Column:
     return F.transform(lines, lambda x: ln.normal(x))
 
 
-def _region_flags(lines: Column) -> Column:
+def _region_flags(lines: Column, normal: Column) -> Column:
     def of(line: Column, t: Column) -> Column:
         label = F.coalesce(ln.label_of(line), F.lit(""))
         contents = ln.is_contents_line(t)
@@ -51,7 +51,7 @@ def _region_flags(lines: Column) -> Column:
             t.rlike(ln.one_of(ln.TO_THE_END, after="")).alias("to_end"), t.rlike(ln.one_of(ln.NAMES_ONLY, after="")).alias("names"),
         )
 
-    return F.zip_with(lines, _normal(lines), of)
+    return F.zip_with(lines, normal, of)
 
 
 def fold_regions(flags: list[dict]) -> list[str]:
@@ -90,12 +90,13 @@ def with_regions(docs: DataFrame, lines: str = "lines") -> DataFrame:
 
     Compared is the body after its opening heading, or else after chapter or part one, or else the whole body; and all
     lines where there is no body, as too much is better than an empty report."""
-    flagged = docs.withColumn("regions", _folded(_region_flags(F.col(lines)), fold_regions, "array<string>"))
+    told = docs.withColumn("normal_", _normal(F.col(lines)))
+    flagged = told.withColumn("regions", _folded(_region_flags(F.col(lines), F.col("normal_")), fold_regions, "array<string>"))
     places = F.sequence(F.lit(1), F.size(lines))
     body = F.filter(F.when(F.size(lines) > 0, places).otherwise(F.array().cast("array<int>")), lambda i: F.element_at("regions", i) == BODY)
 
     def first(pattern: str) -> Column:
-        t = lambda i: ln.normal(F.element_at(lines, i))
+        t = lambda i: F.element_at("normal_", i)
         return F.array_min(F.filter("body_", lambda i: t(i).rlike(pattern) & ~ln.is_contents_line(t(i))))
 
     opening = first(ln.one_of(ln.OPENINGS, f"(?:{ln.NUMBERED})?"))
@@ -103,7 +104,7 @@ def with_regions(docs: DataFrame, lines: str = "lines") -> DataFrame:
     found = flagged.withColumn("body_", body).withColumn("mark_", F.coalesce(opening, chapter, F.lit(0)))
     after = F.filter("body_", lambda i: i > F.col("mark_"))
     compared = F.when(F.size("body_") == 0, F.when(F.size(lines) > 0, places)).when(F.size(after) == 0, F.col("body_")).otherwise(after)
-    return found.withColumn("compared", F.coalesce(compared, F.array().cast("array<int>"))).drop("body_", "mark_")
+    return found.withColumn("compared", F.coalesce(compared, F.array().cast("array<int>"))).drop("body_", "mark_", "normal_")
 
 
 # --- joined lines: 0 begins a line, 1 goes on with the line before, 2 goes
