@@ -17,7 +17,9 @@ two linked sets share at least k tokens among their first ``n - a + k``. With ``
    pairs of the centre and a token of the difference to it. If x and y link and y does not link with the centre c, their
    differences D to c share more than (|D(x)| + k (|c| - |x|)) / 2 tokens, with k = (1 - t) / (1 + t); so the first
    |D(x)| - that tokens of D(x) hold a shared one, again with tokens of one class alone first. Keys whose classes already
-   belong to one group are dropped, and only classes of different groups of about equal size make candidates.
+   belong to one group are dropped. Under the others each class is first compared with one of another group, the smallest and then the
+   largest, which joins large groups of near copies with one comparison a class and key; only classes of groups that are different
+   still, and of about equal size, make candidates.
 
 Candidates pass a parity filter before anything else is read for them: bit b of a set's 1024 is the parity of its
 tokens that hash to b, and two sets differ in at least as many tokens as bits. The rest is verified on the whole sets,
@@ -48,6 +50,8 @@ RARE = 200
 STARS = 3
 #: rounds that verify one pair a group, before the rest is verified
 TURNS = 2
+#: rounds that compare the classes under a key with one of them, before all of different groups are compared
+KEY_STARS = 2
 #: numbers of 64 parity bits of a set
 PARITY = 16
 #: parities are broadcast up to this many classes (35 MB), and shuffled beyond
@@ -267,13 +271,37 @@ def _combinations(classes: DataFrame, apart: DataFrame, percent: int) -> DataFra
     return single.unionByName(kept.select(F.col("centre").alias("k1"), F.col("x.token").alias("k2"), "cls", "n", "near", (F.col("at") < F.col("first")).alias("front")))
 
 
-def _across(keys: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """(a, b): classes of different groups and about equal size that share a key."""
+def _live(keys: DataFrame) -> DataFrame:
+    """The rows of keys whose classes are of different groups."""
     spread = keys.groupBy("k1", "k2").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo < hi").select("k1", "k2")
-    live = scratch.put(keys.join(spread, ["k1", "k2"], "left_semi"), "keys")
-    other = live.select("k1", "k2", F.col("cls").alias("b"), F.col("n").alias("m"), F.col("grp").alias("grp_b"), F.col("near").alias("near_b"), F.col("front").alias("front_b"))
-    met = live.join(other, ["k1", "k2"]).where((F.col("grp") < F.col("grp_b")) & _alike("n", "m", percent) & F.expr("near <> near_b OR (front AND front_b AND NOT near)"))
-    return met.select(F.col("cls").alias("a"), "b").distinct()
+    return keys.join(spread, ["k1", "k2"], "left_semi")
+
+
+def _met(percent: int) -> Column:
+    """Whether two classes under a key, the second with names in _b, are of different groups and can link by it."""
+    return (F.col("grp") != F.col("grp_b")) & _alike("n", "n_b", percent) & F.expr("near <> near_b OR (front AND front_b AND NOT near)")
+
+
+def _key_stars(live: DataFrame, percent: int, turn: int) -> DataFrame:
+    """(a, b): each class under a key with one of another group, the smallest in even turns and the largest in odd ones."""
+    row = F.struct(*[F.col(c).alias(f"{c}_b") for c in ("cls", "n", "grp", "near", "front")])
+    centres = live.groupBy("k1", "k2").agg((F.max if turn % 2 else F.min)(row).alias("c")).select("k1", "k2", "c.*")
+    met = live.join(centres, ["k1", "k2"]).where(_met(percent))
+    return met.select(F.least("cls", "cls_b").alias("a"), F.greatest("cls", "cls_b").alias("b")).distinct()
+
+
+def _across(live: DataFrame, percent: int) -> DataFrame:
+    """(a, b): classes of different groups and about equal size that share a key."""
+    other = live.select("k1", "k2", *[F.col(c).alias(f"{c}_b") for c in ("cls", "n", "grp", "near", "front")])
+    met = live.join(other, ["k1", "k2"]).where((F.col("grp") < F.col("grp_b")) & _met(percent))
+    return met.select(F.col("cls").alias("a"), F.col("cls_b").alias("b")).distinct()
+
+
+def _grouped_anew(grouped: DataFrame, linked: DataFrame, ends: DataFrame, scratch: Scratch) -> DataFrame:
+    """node, component: ``grouped``, and the ``ends`` (node, component) that it may lack, with the groups that ``linked`` (a, b) joins."""
+    merged = components(linked, scratch)
+    known = grouped.select("node", "component").union(ends).distinct()
+    return scratch.put(known.join(merged.select(F.col("node").alias("component"), F.col("component").alias("higher")), "component", "left").select("node", F.coalesce("higher", "component").alias("component")), "grouped")
 
 
 def groups(docs: DataFrame, percent: int = 80, words: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -304,10 +332,20 @@ def groups(docs: DataFrame, percent: int = 80, words: int = 5, doc_id: str = "do
 
     # 3. combinations, between groups
     named = lambda x: grouped.select(F.col("node").alias(x), F.col("component").alias(f"{x}_grp"))
-    keys = _combinations(ordered, apart, percent).join(named("cls"), "cls", "left").withColumn("grp", F.coalesce("cls_grp", "cls")).drop("cls_grp")
-    all_keys = scratch.put(keys, "all_keys")
-    pairs = scratch.put(_possible(_across(all_keys, percent, scratch), sets, percent), "pairs")
-    scratch.drop(ordered, apart, all_keys, links)
+    in_groups = lambda rows: rows.join(named("cls"), "cls", "left").withColumn("grp", F.coalesce("cls_grp", "cls")).drop("cls_grp")
+    live = scratch.put(_live(scratch.put(in_groups(_combinations(ordered, apart, percent)), "all_keys")), "keys")
+    for turn in range(KEY_STARS):
+        grp = live.select(F.col("cls").alias("node"), F.col("grp").alias("component")).distinct()
+        side = lambda x: grp.select(F.col("node").alias(x), F.col("component").alias(f"{x}_grp"))  # noqa: B023, E731
+        tried = scratch.put(_possible(_key_stars(live, percent, turn), sets, percent), "tried")
+        # one pair of two groups is enough at first
+        least = tried.join(side("a"), "a").join(side("b"), "b").groupBy("a_grp", "b_grp").agg(F.min(F.struct("a", "b")).alias("p")).select("p.*", "a_grp", "b_grp")
+        one = scratch.put(least, "one")
+        linked = _verified(one.select("a", "b"), sets, percent).join(one, ["a", "b"]).select(F.col("a_grp").alias("a"), F.col("b_grp").alias("b"))
+        grouped = _grouped_anew(grouped, linked, grp, scratch)
+        live = scratch.put(_live(in_groups(live.drop("grp"))), "keys")
+    pairs = scratch.put(_possible(_across(live, percent), sets, percent), "pairs")
+    scratch.drop(ordered, apart, links)
     for turn in range(TURNS + 1):
         loose = pairs.join(named("a"), "a", "left").join(named("b"), "b", "left").withColumn("a_grp", F.coalesce("a_grp", "a")).withColumn("b_grp", F.coalesce("b_grp", "b")).where("a_grp <> b_grp")
         open_pairs = scratch.put(loose, "open")
@@ -320,10 +358,8 @@ def groups(docs: DataFrame, percent: int = 80, words: int = 5, doc_id: str = "do
         if not tried.limit(1).count():
             break
         linked = _verified(tried.select("a", "b"), sets, percent).join(tried, ["a", "b"]).select(F.col("a_grp").alias("a"), F.col("b_grp").alias("b"))
-        merged = components(linked, scratch)
         ends = open_pairs.select(F.col("a").alias("node"), F.col("a_grp").alias("component")).distinct().union(open_pairs.select("b", "b_grp").distinct())
-        known = grouped.select("node", "component").union(ends).distinct()
-        grouped = scratch.put(known.join(merged.select(F.col("node").alias("component"), F.col("component").alias("higher")), "component", "left").select("node", F.coalesce("higher", "component").alias("component")), "grouped")
+        grouped = _grouped_anew(grouped, linked, ends, scratch)
         pairs = open_pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti").select("a", "b")
 
     second = by_class.join(named("cls"), "cls", "left").withColumn("grp", F.coalesce("cls_grp", "cls")).select("cls", "doc_id", "grp")
