@@ -10,7 +10,7 @@ from test_overlap import _rows
 from weftmatch.plans import overlap
 from weftmatch.sources import storage
 
-SMALL = {"ROWS_AT_ONCE": 12, "PAIRS_AT_ONCE": 2, "SHARED_AT_ONCE": 20, "EXACT_AT_ONCE": 10}
+SMALL = {"ROWS_AT_ONCE": 12, "PAIRS_AT_ONCE": 2, "CLASSES_AT_ONCE": 20, "EXACT_AT_ONCE": 10}
 NAMES = ["candidate_pairs", "candidate_min_overlap", "jaccard_pairs", "winnowing_pairs", "cosine_pairs", "sentence_matches", "passages_raw", "passages_final", "patchworks_final", "match_kind", "report_stats", "source_stats", "vocab_idf", "highlight_remainder"]
 
 
